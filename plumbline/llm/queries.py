@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import idfiles, packing
+from plumbline.llm import decontaminate, idfiles, packing, pii, secret_scan
 from plumbline.llm.tokens import default_vocabulary
 
 
@@ -14,16 +14,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(pii.scan(_read(spark, sf_dir, "documents")), "doc_id", pii.BASE)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(secret_scan.scan(_read(spark, sf_dir, "documents")), "doc_id", secret_scan.BASE)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_benchmark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(_read(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op10_token_id_files)}
+    return {f.__name__: f for f in (op3_personal_data, op4_secrets, op5_best_fit_packing, op8_benchmark_decontamination, op10_token_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, idfiles, packing, pii, secret_scan
+from plumbline.llm import decontaminate, idfiles, langid, packing, pii, quality_score, secret_scan
+from plumbline.llm.sampling import held_out
 from plumbline.llm.tokens import default_vocabulary
 
 
@@ -26,17 +27,27 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_score.predict(docs, quality_score.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return decontaminate.contamination(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(_read(spark, sf_dir, "documents"), default_vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_personal_data, op4_secrets, op5_best_fit_packing, op8_benchmark_decontamination, op10_token_id_files)}
+    return {f.__name__: f for f in (op3_personal_data, op4_secrets, op5_best_fit_packing, op7_quality_classifier, op8_benchmark_decontamination, op9_language_id, op10_token_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,8 +2,9 @@
 good texts than with one built from bad ones.
 
 Two zstandard dictionaries are built from labelled texts.  A text's evidence is the difference of
-its two compressed sizes divided by their sum; a monotone curve of that evidence, fitted on
-labelled texts that neither dictionary saw, is its calibrated score.
+its two compressed sizes divided by their sum.  Logistic regression, fitted on labelled texts that
+neither dictionary saw, turns it into a calibrated score; it also sees how far the text shrinks at
+all and how long it is, since the same difference means less for a text that is one word repeated.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from plumbline.llm.sampling import held_out, labelled_sample
 from plumbline.llm.shared import text_slices
 
 DICTIONARY_BYTES = 112 << 10
-LEVEL = 6
+LEVEL = 3
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 48 << 20
 KEEP = 0.7
@@ -31,46 +32,52 @@ KEEP = 0.7
 class Model:
     good: bytes
     bad: bytes
-    evidence: np.ndarray
-    chance: np.ndarray
-
-    def compressors(self) -> list[zstandard.ZstdCompressor]:
-        out = []
-        for raw in (self.good, self.bad):
-            held = zstandard.ZstdCompressionDict(raw)
-            held.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False))
-        return out
-
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        return np.interp(evidence, self.evidence, self.chance)
-
-
-def evidence(texts: list[str], compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """Above 0 for texts that the good dictionary fits better; 0 for the empty text."""
-    out = np.zeros(len(texts))
-    good, bad = compressors
-    for i, t in enumerate(texts):
-        if t:
-            raw = t.encode()
-            g, b = len(good.compress(raw)), len(bad.compress(raw))
-            out[i] = (b - g) / (b + g)
+    low: np.ndarray
+    high: np.ndarray
+    centre: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+
+    def score(self, sizes: np.ndarray) -> np.ndarray:
+        """Scores of texts from their three sizes; none lies outside what the fit has seen."""
+        x = (_terms(np.clip(_features(sizes), self.low, self.high)) - self.centre) / self.scale
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+
+
+def compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
+    out = []
+    for raw in (good, bad):
+        held = zstandard.ZstdCompressionDict(raw)
+        held.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False))
     return out
 
 
-def monotone_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, knots: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """A rising curve through the chances of y = 1: pooled neighbours of about equal counts, each
-    with one virtual row of either outcome."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []
-    for part in np.array_split(order, min(knots, max(1, len(order) // 8))):
-        w = weight[part]
-        blocks.append([float((x[part] * w).sum()), float((y[part] * w).sum()), float(w.sum())])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    at = np.array([b[0] / b[2] for b in blocks])
-    return at, np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+def sizes(texts: list[str], tools: list[zstandard.ZstdCompressor]) -> np.ndarray:
+    """For each text: its size compressed with the good dictionary, with the bad one, and itself."""
+    good, bad = tools
+    raws = (t.encode() for t in texts)
+    return np.array([(len(good.compress(r)), len(bad.compress(r)), len(r)) for r in raws], float).reshape(-1, 3)
+
+
+def _features(sizes: np.ndarray) -> np.ndarray:
+    good, bad, raw = sizes.T
+    return np.stack([(bad - good) / (bad + good), np.log((bad + good) / (2 * raw + 1)), np.log(raw + 1)], 1)
+
+
+def _terms(features: np.ndarray) -> np.ndarray:
+    x, ratio, length = features.T
+    return np.stack([np.ones_like(x), x, x**2, x**3, ratio, ratio**2, length, length**2, x * length, x * ratio, ratio * length], 1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
+    """Weights by Newton's method, with a ridge penalty."""
+    theta = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        bend = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * len(y) * np.eye(len(theta))
+        theta = theta + np.linalg.solve(bend, x.T @ (weight * (y - p)) - ridge * len(y) * theta)
+    return theta
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -85,36 +92,36 @@ def _dictionary(texts: list[str], size: int) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model learned from labelled documents outside the held-out fold (1 is good, 0 is bad): at
     most ``rows`` whole texts a label and ``most_bytes`` in all, half for the dictionaries and half
-    for the curve, which is weighted as the labels occur in the whole table.  None if a label is
+    for the regression, which is weighted as the labels occur in the whole table.  None if a label is
     missing."""
     counts, sample = labelled_sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
     if not sample.get(0) or not sample.get(1):
         return None
-    model = Model(*(_dictionary(sample[k][::2], DICTIONARY_BYTES) for k in (1, 0)), np.zeros(1), np.zeros(1))
+    good, bad = (_dictionary(sample[k][::2], DICTIONARY_BYTES) for k in (1, 0))
     rest = [(t, k) for k in (0, 1) for t in sample[k][1::2] or sample[k]]
-    x, y = evidence([t for t, _ in rest], model.compressors()), np.array([k for _, k in rest], float)
-    total = counts[0] + counts[1]
-    weight = np.where(y == 1, counts[1] / total / max(1, (y == 1).sum()), counts[0] / total / max(1, (y == 0).sum())) * len(y)
-    model.evidence, model.chance = monotone_curve(x, y, weight)
-    return model
+    seen, y = _features(sizes([t for t, _ in rest], compressors(good, bad))), np.array([k for _, k in rest], float)
+    x = _terms(seen)
+    centre, scale = x.mean(0), x.std(0) + 1e-9
+    centre[0], scale[0] = 0, 1
+    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()) * len(y) / (counts[0] + counts[1])
+    return Model(good, bad, seen.min(0), seen.max(0), centre, scale, logistic((x - centre) / scale, y, weight))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP) -> DataFrame:
     """For each document: the id column, held_out, score and predicted (1 from ``keep_from`` on).
 
-    Null and empty texts have no evidence and get the curve's value there; without a model every
-    score is 0.5.  Only the text is read for a score.
+    A null text counts as empty, and that has a score like any other; without a model every score
+    is 0.5.  Only the text is read for a score.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        tools = model.compressors() if model else None
+        tools = compressors(model.good, model.bad) if model else None
         for batch in batches:
             for part in text_slices(batch, 0):
-                x = evidence(part.column(0).to_pylist(), tools) if model else None
-                score = model.score(x) if model else np.full(part.num_rows, 0.5)
+                score = model.score(sizes(part.column(0).to_pylist(), tools)) if model else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(score), pa.array((score >= keep_from).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     schema = f"`{id_col}` {kind}, held_out boolean, score double, predicted int"

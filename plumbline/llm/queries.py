@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, idfiles, langid, packing, pii, quality_score, secret_scan
+from plumbline.llm import decontaminate, idfiles, langid, packing, pii, quality_rules, quality_score, secret_scan
 from plumbline.llm.sampling import held_out
 from plumbline.llm.tokens import default_vocabulary
 
@@ -27,6 +27,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_score.predict(docs, quality_score.fit(docs, _read(spark, sf_dir, "labels")))
@@ -47,7 +52,7 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_personal_data, op4_secrets, op5_best_fit_packing, op7_quality_classifier, op8_benchmark_decontamination, op9_language_id, op10_token_id_files)}
+    return {f.__name__: f for f in (op3_personal_data, op4_secrets, op5_best_fit_packing, op6_quality_rules, op7_quality_classifier, op8_benchmark_decontamination, op9_language_id, op10_token_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, idfiles, langid, neardup, packing, pii, quality_rules, quality_score, secret_scan
+from plumbline.llm import decontaminate, idfiles, langid, licenses, neardup, packing, pii, quality_rules, quality_score, secret_scan
 from plumbline.llm.sampling import held_out
 from plumbline.llm.tokens import default_vocabulary
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -56,8 +60,8 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_personal_data, op4_secrets, op5_best_fit_packing, op6_quality_rules, op7_quality_classifier, op8_benchmark_decontamination, op9_language_id, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_personal_data, op4_secrets, op5_best_fit_packing, op6_quality_rules, op7_quality_classifier, op8_benchmark_decontamination, op9_language_id, op10_token_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": licenses.oracle_sql()}

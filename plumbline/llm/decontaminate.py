@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import text_slices, written
+from plumbline.llm.shared import carried, text_slices, written
 from plumbline.llm.textbuf import Hasher, U, buffers, byte_codes, grams, mix, runs
 
 WINDOW = 13
@@ -145,34 +146,37 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, most: int) -> Iterat
 
 def find_benchmark(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, keep_text: bool = False,
+    item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, whole_rows: bool = False,
 ) -> DataFrame:
     """For each document: the id column, n_words, hits (array of [start, stop) word ranges inside
     occurring windows), items (sorted array of the ids, as strings, of items with such windows) and,
-    with ``keep_text``, the text.
+    with ``whole_rows``, row: a struct of all its columns.
 
     Null and empty texts have no words and no hits; so do all documents if there are no items.
     Repeated documents have a row each; an item id that repeats counts once.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, text string, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<string>"
-    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    state = docs.select(
+        F.col(text_col).alias("text"), carried(docs, [c for c in docs.columns if c != text_col] if whole_rows else [id_col]).alias("rest"),
+        F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"),
+    )
+    schema = f"text string, rest {dict(state.dtypes)['rest']}, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<string>"
     for k, (ids, texts) in enumerate(_blocks(items, item_col, item_text_col, block_bytes)):
         if k:
-            state = written(state.select("id", "text", "hits", "items"), "decontaminated")
+            state = written(state.select("text", "rest", "hits", "items"), "decontaminated")
         state = state.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(Index(ids, texts, window, gram))), schema)
-    return state.select(F.col("id").alias(id_col), "n_words", "hits", "items", *([F.col("text").alias(text_col)] if keep_text else []))
+    row = F.struct(*((F.col("text") if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns)).alias("row") if whole_rows else None
+    return state.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "hits", "items", *([row] if whole_rows else []))
 
 
 def _scan(shared):
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    kinds = [pa.string(), pa.int64(), pa.list_(span), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.list_(span), pa.list_(pa.string())]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for part in text_slices(batch, 1):
-                h, off = words(part.column(1))
+            for part in text_slices(batch, 0, fill=False):
+                h, off = words(pc.fill_null(part.column(0), ""))
                 hit, pairs = index.hits(h, off)
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for a, b in zip(*runs(hit, off), strict=True):
@@ -185,7 +189,7 @@ def _scan(shared):
                     spans[t] = _union(spans[t] + before) if before else spans[t]
                 for t, before in enumerate(part.column(3).to_pylist()):
                     found[t] = sorted({*found[t], *(before or [])})
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), *(pa.array(x, k) for x, k in zip((np.diff(off), spans, found), kinds[1:], strict=True))], names=["id", "text", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(x, k) for x, k in zip((np.diff(off), spans, found), kinds, strict=True))], names=["text", "rest", "n_words", "hits", "items"])
 
     return scan
 

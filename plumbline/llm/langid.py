@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.sampling import held_out, labelled_sample
-from plumbline.llm.shared import text_slices
+from plumbline.llm.shared import carried, text_slices
 
 BITS = 15
 NGRAMS = (1, 2, 3)
@@ -169,20 +169,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """For each document: the id column (and those of ``keep``), lang_pred and score, the calibrated
-    probability of that language.
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """For each document: the id column, lang_pred and score, the calibrated probability of that
+    language; with ``whole_rows`` also ``row``, a struct of all its columns.
 
     A text that is null or has no letter is "und" with score 1.0, and so, with score 0.0, is every
     other text if nothing could be learned.  Only the text is read for a prediction.
     """
-    columns = [id_col, *(c for c in keep or [] if c not in (id_col, "lang_pred", "score"))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in text_slices(batch, 0):
+            for part in text_slices(batch, 0, fill=False):
                 texts = part.column(0).to_pylist()
                 lang, score = [UNKNOWN] * len(texts), [1.0] * len(texts)
                 able = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -194,9 +193,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         p = model.probabilities([texts[i] for i in able[a:b]])
                         for i, k, s in zip(able[a:b], p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                             lang[i], score[i] = model.languages[k], min(1.0, s)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang), pa.array(score, pa.float64())], names=names)
-
-    kinds = dict(docs.dtypes)
-    names = [*columns, "lang_pred", "score"]
-    fields = [f"`{c}` {kinds[c]}" for c in columns] + ["lang_pred string", "score double"]
-    return docs.select(F.col(text_col).alias("_text"), *columns).mapInArrow(label, ", ".join(fields))
+                columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), *([part.column(0)] if whole_rows else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=names)
+
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), *([carried(docs, [c for c in docs.columns if c != text_col]).alias("_rest")] if whole_rows else []))
+    kinds = dict(rows.dtypes)
+    names = ["_id", *(["_rest"] if whole_rows else []), "lang_pred", "score", *(["_text"] if whole_rows else [])]
+    out = rows.mapInArrow(label, ", ".join(f"{c} {kinds.get(c, 'string' if c == 'lang_pred' else 'double')}" for c in names))
+    row = F.struct(*((F.col("_text") if c == text_col else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns)).alias("row")
+    return out.select(F.col("_id").alias(id_col), "lang_pred", "score", *([row] if whole_rows else []))

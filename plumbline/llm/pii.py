@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import text_slices
+from plumbline.llm.shared import carried, text_slices
 from plumbline.llm.textbuf import buffers
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -126,43 +126,41 @@ def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_redacted: bool = False) -> DataFrame:
     """For each document: the id column, spans (array of kind, start, end, score) and, with
-    ``with_redacted``, redacted: the text with its spans replaced by their kinds.
+    ``with_redacted``, row: a struct of all its columns in which the text's spans are replaced by
+    their kinds.
 
-    A null text is empty and has no spans (its redacted text stays null); repeated rows have a row
-    each.  Positions count code points; ends are exclusive.
+    A null text is empty and has no spans (in a row it stays null); repeated rows have a row each.
+    Positions count code points; ends are exclusive.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
     digit = np.isin(np.arange(256), range(48, 58))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nulls = batch.column(1).is_null()
-            done = 0
-            for part in text_slices(batch, 1):
-                data, off = buffers(part.column(1))
+            for part in text_slices(batch, 0, fill=False):
+                data, off = buffers(pc.fill_null(part.column(0), ""))
                 digits, ats = (np.diff(np.concatenate([[0], np.cumsum(x)])[off]) > 0 for x in (digit[data], data == 64))
-                spans, red = [], []
-                for i, (has_at, has_digit) in enumerate(zip(ats.tolist(), digits.tolist(), strict=True)):
-                    if not (has_at or has_digit):
-                        spans.append([])
-                        red.append(None)
-                        continue
-                    text = part.column(1)[i].as_py()
-                    own = find_spans(text, has_at, has_digit)
-                    spans.append([dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in own])
-                    red.append(redact(text, own) if own and with_redacted else None)
-                columns = [part.column(0), pa.array(spans, pa.list_(span))]
+                spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                changed: dict[int, str] = {}
+                for i in np.flatnonzero(digits | ats).tolist():
+                    text = part.column(0)[i].as_py()
+                    own = find_spans(text, bool(ats[i]), bool(digits[i]))
+                    spans[i] = [dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in own]
+                    if own and with_redacted:
+                        changed[i] = redact(text, own)
+                columns = [*part.columns[1:], pa.array(spans, pa.list_(span))]
                 if with_redacted:
-                    texts = pa.array([r if r is not None else None for r in red], pa.string())
-                    texts = pc.coalesce(texts, part.column(1).cast(pa.string()))
-                    columns.append(pc.if_else(nulls.slice(done, part.num_rows), pa.scalar(None, pa.string()), texts))
-                done += part.num_rows
+                    mask = np.zeros(part.num_rows, bool)
+                    mask[list(changed)] = True
+                    columns.append(pc.replace_with_mask(part.column(0), pa.array(mask), pa.array(list(changed.values()), part.column(0).type)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = [id_col, "spans", *(["redacted"] if with_redacted else [])]
-    schema = f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>" + ", redacted string" * with_redacted
-    return docs.select(id_col, text_col).mapInArrow(find, schema)
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), *([carried(docs, [c for c in docs.columns if c != text_col]).alias("_rest")] if with_redacted else []))
+    kinds = dict(rows.dtypes) | {"spans": "array<struct<kind:string,start:bigint,end:bigint,score:double>>"}
+    names = ["_id", *(["_rest"] if with_redacted else []), "spans", *(["_text"] if with_redacted else [])]
+    out = rows.mapInArrow(find, ", ".join(f"{c} {kinds[c]}" for c in names))
+    row = F.struct(*((F.col("_text") if c == text_col else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns)).alias("row")
+    return out.select(F.col("_id").alias(id_col), "spans", *([row] if with_redacted else []))
 
 
 def span_list(spans: Column | str, kinds: tuple[str, ...] | None = None) -> Column:

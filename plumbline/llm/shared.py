@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at once; it bounds a worker's memory.
 SLICE_BYTES = 1 << 20
@@ -46,13 +47,19 @@ def drop_written(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def carried(docs: DataFrame, columns: list[str]) -> Column:
+    """Those columns as one struct, which an operator hands through as it is, whatever their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, fill: bool = True) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with about ``most`` bytes of text each; one long text may be more.
-    Nulls in the text column become empty texts."""
+    With ``fill``, nulls in the text column become empty texts."""
     if not batch.num_rows:
         return
     texts = pc.fill_null(batch.column(column), "")
-    batch = batch.set_column(column, batch.schema.field(column), texts)
+    if fill:
+        batch = batch.set_column(column, batch.schema.field(column), texts)
     start, size = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if size and size + n > most:

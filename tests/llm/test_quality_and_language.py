@@ -140,8 +140,8 @@ def test_models_bear_odd_rows(spark, odd_docs, empty_docs, learned):
     lang, trees, comp = langid.fit(src), quality_rules.fit(src, lab), quality_score.fit(src, lab)
     for data in (odd_docs.withColumnRenamed("n_chars", "score"), empty_docs):
         n = data.count()
-        rows = langid.predict(data, lang, keep=["score", "lang"]).collect()
-        assert len(rows) == n
+        rows = langid.predict(data, lang, whole_rows=True).collect()
+        assert len(rows) == n and sorted(map(repr, (r["row"] for r in rows))) == sorted(map(repr, data.collect()))
         assert all(r["lang_pred"] == "und" for r in rows) or learned
         assert len(quality_rules.judge(data, trees).collect()) == n
         got = quality_score.predict(data, comp).collect()

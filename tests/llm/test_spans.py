@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -110,8 +111,10 @@ def test_span_scans_bear_odd_rows(spark, odd_docs, empty_docs):
         assert scan(empty_docs).count() == 0
         rows = scan(odd_docs.withColumnRenamed("n_chars", "spans"), with_redacted=True).collect()
         assert len(rows) == odd_docs.count()
-    red = {r["redacted"] for r in pii.scan(odd_docs, with_redacted=True).collect()}
-    assert {None, "", "<PHONE>", "<IP>.5"} <= red
+    red = pii.scan(odd_docs, with_redacted=True).select("row.*")
+    assert red.columns == odd_docs.columns
+    assert {None, "", "<PHONE>", "<IP>.5"} <= {r["text"] for r in red.collect()}
+    assert red.where("text IS NULL").count() == odd_docs.where("text IS NULL").count()
 
 
 def test_hex_run_across_texts_is_none(spark):
@@ -168,7 +171,8 @@ def test_windows_on_a_small_alphabet(spark, block):
 def test_decontamination_bears_odd_rows(spark, odd_docs, empty_docs):
     items = spark.createDataFrame([(None, "word word"), (1, "same words here again")], "item_id bigint, text string")
     assert decontaminate.contamination(decontaminate.find_benchmark(empty_docs, items)).count() == 0
-    rows = decontaminate.contamination(decontaminate.find_benchmark(odd_docs.withColumnRenamed("n_chars", "hits"), items, keep_text=True)).collect()
+    rows = decontaminate.contamination(decontaminate.find_benchmark(odd_docs.withColumnRenamed("n_chars", "hits"), items, whole_rows=True)).collect()
+    assert Counter(r['row']['text'] for r in rows) == Counter(r['text'] for r in odd_docs.collect())
     assert len(rows) == odd_docs.count() and sum(r["contaminated"] for r in rows) >= 3
     none = decontaminate.contamination(decontaminate.find_benchmark(odd_docs, items.limit(0))).collect()
     assert not any(r["contaminated"] for r in none)

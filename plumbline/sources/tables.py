@@ -48,7 +48,7 @@ def line_statements(documents: DataFrame) -> DataFrame:
 
 
 STATEMENTS_SQL = """statements AS (
-  SELECT func, index, list_slice(w, 1, 1) AS writes, list_distinct(list_slice(w, 2, NULL)) AS reads
+  SELECT func, index, list_slice(w, 1, 1) AS writes, list_distinct(w[2:]) AS reads
   FROM (SELECT func, i - 1 AS index, list_filter(string_split(lines[i], ' '), lambda x: x <> '') AS w
         FROM (SELECT doc_id AS func, lines, unnest(range(1, len(lines) + 1)) AS i
               FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))))"""

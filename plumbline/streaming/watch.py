@@ -29,4 +29,5 @@ def watch(engine: Engine, root: str, folder: str, checkpoint: str, **trigger) ->
     files = engine.spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     named = files.select(path.alias("file_path"), "value")
+    named = named.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, sorted(repository.EXCLUDED)))))
     return named.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

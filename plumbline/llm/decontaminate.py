@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import carried, text_slices, written
+from plumbline.llm.shared import bounded_batches, carried, text_slices, written
 from plumbline.llm.textbuf import Hasher, U, buffers, byte_codes, grams, mix, runs
 
 WINDOW = 13
@@ -155,6 +155,7 @@ def find_benchmark(
     Null and empty texts have no words and no hits; so do all documents if there are no items.
     Repeated documents have a row each; an item id that repeats counts once.
     """
+    bounded_batches(docs.sparkSession)
     state = docs.select(
         F.col(text_col).alias("text"), carried(docs, [c for c in docs.columns if c != text_col] if whole_rows else [id_col]).alias("rest"),
         F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"),

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import fresh_path, text_slices, written
+from plumbline.llm.shared import bounded_batches, fresh_path, text_slices, written
 from plumbline.llm.tokens import encoder
 
 MAGIC = b"PLBIDS01"
@@ -175,6 +175,7 @@ def write_ids(
     runs again writes the same file again.  An empty table gives no files.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     where, path = store(folder)
     where.create_dir(path, recursive=True)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.sampling import held_out, labelled_sample
-from plumbline.llm.shared import carried, text_slices
+from plumbline.llm.shared import bounded_batches, carried, text_slices
 
 BITS = 15
 NGRAMS = (1, 2, 3)
@@ -60,6 +60,7 @@ def _groups(texts: list[str], bits: int) -> Iterator[tuple[int, int]]:
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> np.ndarray:
     """In how many texts each feature occurs; a task sends at most one row a feature."""
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << bits, np.int64)
@@ -177,6 +178,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     other text if nothing could be learned.  Only the text is read for a prediction.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import words
-from plumbline.llm.shared import text_slices, written
+from plumbline.llm.shared import bounded_batches, text_slices, written
 from plumbline.llm.textbuf import U, grams, mix
 
 SHINGLE = 5
@@ -128,6 +128,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def frequency_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The weight level of each slot of the sketch, from how many documents fall in it."""
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts = np.zeros(1 << SKETCH_BITS, np.int64), 0

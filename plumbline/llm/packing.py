@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import text_slices, written
+from plumbline.llm.shared import bounded_batches, text_slices, written
 from plumbline.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -99,6 +99,7 @@ def tokenised_pieces(
     remainder, all others are full.  A null or empty text has the end id alone; a null document id
     stays null; repeated rows are packed each.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import carried, text_slices
+from plumbline.llm.shared import bounded_batches, carried, text_slices
 from plumbline.llm.textbuf import buffers
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -133,6 +133,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_r
     Positions count code points; ends are exclusive.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+    bounded_batches(docs.sparkSession)
     digit = np.isin(np.arange(256), range(48, 58))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

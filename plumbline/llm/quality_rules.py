@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.sampling import labelled_sample
-from plumbline.llm.shared import text_slices
+from plumbline.llm.shared import bounded_batches, text_slices
 from plumbline.llm.textbuf import Hasher, U, buffers, byte_codes, grams, mix, owners, runs
 
 WINDOW = 8
@@ -205,6 +205,7 @@ def judge(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    bounded_batches(docs.sparkSession)
     names = [id_col, *STATS, "base_failed", "kept", "score"]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.sampling import held_out, labelled_sample
-from plumbline.llm.shared import text_slices
+from plumbline.llm.shared import bounded_batches, text_slices
 
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
@@ -115,6 +115,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.shared import text_slices
+from plumbline.llm.shared import bounded_batches, text_slices
 from plumbline.llm.textbuf import buffers
 
 KINDS = ("assign", "access", "hex", "github", "npm", "slack", "google", "stripe", "private_key", "jwt")
@@ -136,6 +136,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_r
     """
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    bounded_batches(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

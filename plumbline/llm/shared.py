@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at once; it bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that a worker gets; one longer row may be more.
+BATCH_BYTES = 4 << 20
 _own_folder: str | None = None
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Spark send Python workers a few megabytes of rows at a time, however long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is
     unset (one machine, as in tests), a temporary folder of this process."""

@@ -20,8 +20,9 @@ from plumbline.llm.textbuf import Hasher, U, buffers, byte_codes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct units that a worker keeps before it starts anew; with their ids about 80 MB.
+#: Distinct units that a worker keeps before it starts anew; with their ids about 50 MB.
 MEMO_UNITS = 1_000_000
+LEARN_UNITS = 2048
 _SPACE = np.isin(np.arange(256), [32, 10])
 _OTHER_SPACE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
@@ -45,14 +46,14 @@ class _Memo:
     hashes at once."""
 
     def __init__(self, units: int):
-        self.bits = max(4, int(3 * units).bit_length())
+        self.bits = max(4, int(1.5 * units).bit_length())
         self.most = units
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(1 << self.bits, U)
         self.at = np.zeros(1 << self.bits, np.int32)
-        self.start = np.zeros(1024, np.int64)
+        self.start = np.zeros(1024, np.uint32)
         self.n = np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.uint32)
         self.units = self.used = 0
@@ -141,13 +142,15 @@ class Encoder:
                     at = raw.find(s, at + 1)
         return odd
 
-    def _learn(self, raw: bytes, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        good = list(range(len(texts)))
-        if self.style == "prefixed":  # other white space at a unit's edge would touch the cut
-            good = [i for i, u in enumerate(texts) if u == "\n" or (w := u.removeprefix(" ")) and w == w.strip()]
-        found = self.tokenizer.encode_batch_fast([texts[i] for i in good], add_special_tokens=False)
-        self.memo.add(h[good], [e.ids for e in found])
+    def _learn(self, data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        for a in range(0, len(h), LEARN_UNITS):  # the library's results are large while they last
+            part = slice(a, a + LEARN_UNITS)
+            texts = [data[i:j].tobytes().decode() for i, j in zip(start[part].tolist(), end[part].tolist(), strict=True)]
+            good = list(range(len(texts)))
+            if self.style == "prefixed":  # other white space at a unit's edge would touch the cut
+                good = [i for i, u in enumerate(texts) if u == "\n" or (w := u.removeprefix(" ")) and w == w.strip()]
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in good], add_special_tokens=False)
+            self.memo.add(h[part][good], [e.ids for e in found])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and where each text's begin (one more entry: the end).
@@ -169,7 +172,7 @@ class Encoder:
             at = np.flatnonzero(unit < 0)[first]
             if len(at) > self.memo.most // 2:  # one text of hundreds of megabytes
                 return self._whole(texts)
-            self._learn(data.tobytes(), unseen, start[at], end[at])
+            self._learn(data, unseen, start[at], end[at])
             unit = self.memo.find(h)
             if (unit < 0).any():
                 odd[of[unit < 0]] = True
@@ -178,7 +181,7 @@ class Encoder:
         n = self.memo.n[unit].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.memo.ids[np.repeat(self.memo.start[unit] - (ends - n), n) + np.arange(total)]
+        ids = self.memo.ids[np.repeat(self.memo.start[unit].astype(np.int64) - (ends - n), n) + np.arange(total)]
         per_text = np.bincount(of, n, len(texts)).astype(np.int64)
         where = np.concatenate([[0], np.cumsum(per_text)])
         if odd.any():

@@ -214,3 +214,22 @@ def contamination(found: DataFrame, share: int = 20) -> DataFrame:
         "items_sha256": F.sha2(F.array_join("items", ","), 256),
         "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")),
     })
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """What :func:`contamination` gives for ``documents`` and ``benchmark``, in DuckDB's SQL."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH item AS (SELECT coalesce(item_id::VARCHAR, '') AS id, {words} AS w FROM benchmark),
+sized AS (SELECT id, w, least({window}, len(w)) AS m FROM item WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT id, m, array_to_string(w[i : i + m - 1], ' ') AS form FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+doc AS (SELECT row_number() OVER () AS k, doc_id, {words} AS w FROM documents),
+run AS (SELECT k, m, i, array_to_string(w[i : i + m - 1], ' ') AS form
+  FROM (SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc, (SELECT DISTINCT m FROM sized) WHERE len(w) >= m)),
+hit AS (SELECT k, i, m, id FROM run JOIN wanted USING (m, form)),
+place AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT k, unnest(range(i, i + m)) AS p FROM hit) GROUP BY k),
+found AS (SELECT k, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hit GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN place USING (k) LEFT JOIN found USING (k)
+"""

@@ -64,4 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle_sql()}
+    """For the queries that SQL can say.  The others fit models, run a vocabulary or take samples by
+    hash; tests hold them against brute force, exact round trips or held-out rows."""
+    return {
+        "op1_license_scan": licenses.oracle_sql(),
+        "op8_benchmark_decontamination": decontaminate.oracle_sql(),
+    }

@@ -161,6 +161,14 @@ class Statement:
     reads: list[str] = field(default_factory=list)
 
 
+def top_level_statements(text: str) -> list[Statement]:
+    """The first function's statements that no other statement holds, numbered from 0."""
+    out = [s for s in statements(text) if s.parent is None]
+    for i, s in enumerate(out):
+        s.index = i
+    return out
+
+
 def _names(node: ast.AST | None) -> set[str]:
     """Every identifier in an expression, attributes, keywords and bound names included."""
     out: set[str] = set()

@@ -24,6 +24,13 @@ def passes(q: dict[str, Column], c: dict[str, Column]) -> Column:
     return score.same_language(q["language"], c["language"]) & score.parameters_near(q["n_params"], c["n_params"]) & score.loc_ratio_holds(q["loc"], c["loc"])
 
 
+def candidates_for(methods: DataFrame, language: str, n_params: int, loc: int) -> DataFrame:
+    """Ids of the methods that the coarse filter lets through for one query."""
+    q = {"language": F.lit(language), "loc": F.lit(loc), "n_params": F.lit(n_params)}
+    c = {"language": F.col("language"), "loc": score.loc(F.col("start_line"), F.col("end_line")), "n_params": F.size("parameters")}
+    return methods.where(criteria(q, c)).select("id")
+
+
 def candidate_counts(units: DataFrame, rule=criteria) -> DataFrame:
     """(id, n): how many other units pass a filter for each unit.  Units with the same language,
     lines and parameter count are counted together, so no pair of units is ever made; what is

@@ -73,6 +73,10 @@ class Index:
         """(id, embedding) of all rows, deleted ones too."""
         return self._all(kind).select("id", "embedding")
 
+    def vector(self, id_: int, kind: str = "methods") -> DataFrame:
+        """The vector of a row, a deleted one too."""
+        return self.vectors(kind).where(F.col("id") == id_)
+
     def method(self, id_: int) -> DataFrame:
         return self.methods().where(F.col("id") == id_)
 

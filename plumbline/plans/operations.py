@@ -94,14 +94,20 @@ class Engine:
         """The annotated chunks of a table of methods, with their normalized code and vector."""
         statements = repository.statements(methods.select(F.col("id").alias("func"), "body_code"), "func").persist()
         chunks = graph.greedy_chunks(statements, most)
-        annotated = graph.annotate(chunks, graph.chunk_links(chunks, graph.data_edges(statements)))
-        lines = statements.select("func", "index", "start_line", "end_line")
-        covered = annotated.select("func", "chunk_index", F.explode("statement_indices").alias("index")).join(lines, ["func", "index"])
-        spans = covered.groupBy("func", "chunk_index").agg(F.min("start_line").alias("first"), F.max("end_line").alias("last"))
-        source = methods.select(F.col("id").alias("func"), F.col("name").alias("function_name"), "file_path", F.split("body_code", r"\r\n|\r|\n").alias("lines"))
+        annotated = graph.annotate(chunks, graph.chunk_links(chunks, graph.data_edges(statements))).withColumnRenamed("func", "function_id")
+        named = annotated.join(methods.select(F.col("id").alias("function_id"), F.col("name").alias("function_name"), "file_path"), "function_id")
+        out = named.join(self._chunk_texts(annotated, methods, statements), ["function_id", "chunk_index"])
+        return out.withColumn("embedding", self.encode("normalized_code"))
+
+    def _chunk_texts(self, chunks: DataFrame, methods: DataFrame, statements: DataFrame) -> DataFrame:
+        """(function_id, chunk_index, normalized_code): the lines from a chunk's first to its last
+        statement, wrapped in a function and normalized."""
+        lines = statements.select(F.col("func").alias("function_id"), "index", "start_line", "end_line")
+        covered = chunks.select("function_id", "chunk_index", F.explode("statement_indices").alias("index")).join(lines, ["function_id", "index"])
+        spans = covered.groupBy("function_id", "chunk_index").agg(F.min("start_line").alias("first"), F.max("end_line").alias("last"))
+        source = methods.select(F.col("id").alias("function_id"), F.split("body_code", r"\r\n|\r|\n").alias("lines"))
         text = normalize.normalize(normalize.as_function(F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1)))
-        out = annotated.join(spans, ["func", "chunk_index"]).join(source, "func").withColumn("normalized_code", text)
-        return out.withColumn("embedding", self.encode("normalized_code")).withColumnRenamed("func", "function_id").drop("first", "last", "lines")
+        return spans.join(source, "function_id").select("function_id", "chunk_index", text.alias("normalized_code"))
 
     # --- read
 
@@ -186,8 +192,13 @@ class Engine:
         else:
             chunks = index.by_file(file_path, "chunks")
             methods = index.methods().join(chunks.select(F.col("function_id").alias("id")).distinct(), "id", "left_semi")
-        text = F.when(F.coalesce("normalized_code", F.lit("")) == "", F.lit(None)).otherwise(F.col("normalized_code"))
-        grouped = graph.chunk_map(chunks.withColumn("normalized_code", F.coalesce(text, F.lit(""))), "function_id")
+        stored = F.coalesce("normalized_code", F.lit("")) != ""
+        bare = chunks.where(~stored)  # of older segments: their text is made anew, or stays empty
+        owners = methods.join(bare.select(F.col("function_id").alias("id")).distinct(), "id", "left_semi")
+        statements = repository.statements(owners.select(F.col("id").alias("func"), "body_code"), "func")
+        made = bare.drop("normalized_code").join(self._chunk_texts(bare, owners, statements), ["function_id", "chunk_index"], "left")
+        whole = chunks.where(stored).unionByName(made.withColumn("normalized_code", F.coalesce("normalized_code", F.lit(""))))
+        grouped = graph.chunk_map(whole, "function_id")
         rows = methods.select(F.col("id").alias("function_id"), F.col("name").alias("function_name"), F.col("file_path").alias("file"))
         out = rows.join(grouped, "function_id", "left")
         none = F.array().cast(grouped.schema["chunks"].dataType)

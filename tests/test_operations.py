@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.plans import report
 from plumbline.plans.operations import Engine, as_json
@@ -76,6 +77,13 @@ def test_chunks_from_end_to_end(engine, repo, tmp_path):
         ranges = [c["statement_range"] for c in m["chunks"]]
         assert [i for a, b in ranges for i in range(a, b + 1)] == list(range(41)) and all(c["normalized_code"].startswith("def FUNC_NAME():") for c in m["chunks"])
         assert all(d < c["chunk_index"] for c in m["chunks"] for d in c["dependencies"])
+    ids = engine.index(ix)
+    old = ids.by_file(str(repo / "d.py"), "chunks").withColumn("normalized_code", F.lit(None).cast("string")).drop("id", "code_hash", "dependency_links", "created_at").collect()
+    kept = [m["chunks"] for m in maps]
+    ids.delete_chunks_of(ids.by_file(str(repo / "d.py")))
+    ids.add_chunks(engine.spark.createDataFrame(old, ids.chunks().drop("id", "code_hash", "dependency_links", "created_at").schema))
+    maps = engine.get_chunk_map(file_path=str(repo / "d.py"), folder=ix).collect()
+    assert [[c["normalized_code"] for c in m["chunks"]] for m in maps] == [[c["normalized_code"] for c in k] for k in kept]
     first = maps[0]["chunks"][0]["chunk_id"]
     assert engine.analyze_chunks(chunk_id=first, top_k=2, folder=ix).count() < 2  # vectors of replaced chunks still take places
     engine.index(ix).compact()

@@ -117,6 +117,7 @@ def test_pairs_are_scored_and_told_once(spark):
     assert similar.similar_pairs(df, min_lines=6).count() == 0 and similar.similar_pairs(df.limit(0)).count() == 0
     clones = spark.createDataFrame([method(i, "x.py", f"f{i}", "a", 5, "same code") for i in range(6)], SCHEMA)
     assert 0 < similar.similar_pairs(clones, top_k=1).count() <= 6
+    assert sorted(r["id"] for r in similar.candidates_for(df, "python", 2, 5).collect()) == [1, 2, 6]
     gone = df.where("id <> 2")
     assert [(r["query_id"], r["base_id"]) for r in similar.similar_pairs(gone, df).collect()] == [(1, 6)]
 
@@ -145,6 +146,7 @@ def test_index_appends_deletes_and_compacts(spark, tmp_path):
     assert ix.by_function(1).count() == 2 and ix.delete_chunk(1) and not ix.delete_chunk(1)
     assert ix.delete_files(spark.createDataFrame([("a.py",)], "file_path string")) == 4
     assert ix.methods().count() == 5 and ix.chunks().count() == 1 and ix.vectors().count() == 10
+    assert ix.vector(3).count() == 1 and ix.method(3).count() == 0
     again = Index(spark, str(tmp_path / "ix"))
     assert again.add_methods(rows.limit(1)) == 1 and again.methods().agg(F.max("id")).head()[0] == 11
     again.compact()

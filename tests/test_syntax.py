@@ -97,6 +97,11 @@ def test_flat_order_parents_and_kinds():
     assert (s[12].start_line, s[12].end_line) == (21, 23)
 
 
+def test_top_level_statements():
+    s = syntax.top_level_statements("def f(a):\n    if a:\n        b = 1\n    return b\n")
+    assert [(x.index, x.kind, x.end_line) for x in s] == [(0, "if_statement", 3), (1, "return_statement", 4)]
+
+
 @pytest.mark.parametrize(
     "line, writes, reads",
     [

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import words
-from plumbline.llm.shared import bounded_batches, text_slices, written
+from plumbline.llm.shared import bounded_batches, discard, text_slices, written
 from plumbline.llm.textbuf import U, grams, mix
 
 SHINGLE = 5
@@ -208,10 +208,11 @@ def _bucket_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = rows.groupBy("key").agg(
         F.count("*").alias("n"), F.max(me).alias("t0"), F.max(F.when(half == 0, me)).alias("t1"), F.max(F.when(half == 1, me)).alias("t2")
     ).where("n > 1")
+    buckets = written(buckets, "buckets")  # a join with a plain table can be split where one bucket is huge
     joined = rows.join(buckets, "key")
     large = joined.where(F.col("n") > SMALL)
     star = large.select(F.explode(F.array_distinct(F.array_compact(F.array("t0", "t1", "t2")))).alias("t"), "central", "node").where(F.struct("central", "node") < F.col("t")).select(F.col("t.node").alias("a"), F.col("t.central").alias("a_central"), F.col("node").alias("b"), F.lit(True).alias("sure"))
-    lists = joined.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(me)).alias("m"))  # SMALL at most
+    lists = joined.where(F.col("n") <= SMALL).repartition("key").groupBy("key").agg(F.array_sort(F.collect_list(me)).alias("m"))  # SMALL at most
     tails = F.flatten(F.transform("m", lambda b, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda a: F.struct(a["node"].alias("a"), a["central"].alias("a_central"), b["node"].alias("b")))))
     pairs = lists.select(F.explode(tails).alias("p")).select("p.*", F.lit(False).alias("sure"))
     return star.unionByName(pairs), large.select("key", "node", "central")
@@ -234,7 +235,7 @@ def verify(edges: DataFrame, texts: DataFrame, levels, threshold: float = SIMILA
     """The edges (a, b) of which the whole texts (node, text) are similar enough, and how similar."""
     texts = texts.select(F.col("node").alias("own"), "text")
     salts = (F.col("n") / SALT_ROWS).cast("int")
-    per = edges.groupBy("a").agg(F.count("*").alias("n"))
+    per = written(edges.groupBy("a").agg(F.count("*").alias("n")), "heads")  # plain, so that a huge group's join can be split
     head = texts.join(per, texts["own"] == per["a"]).select("a", F.explode(F.sequence(F.lit(0), salts)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("binary").alias("b"), "text")
     body = edges.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), salts + 1).cast("int").alias("salt"))
     body = texts.join(body, texts["own"] == body["b"]).select("a", "salt", F.lit(1).alias("role"), "b", "text")
@@ -273,8 +274,10 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         step = written(step.join(up, "root", "left").select("node", "old", F.least(F.col("root"), F.coalesce("far", "root")).alias("root")), "labels")
+        discard(labels)
         labels = step.select("node", "root")
         if step.where("old != root").isEmpty():
+            discard(both)
             return labels
 
 
@@ -303,14 +306,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
     rest = written(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "rest")
+    discard(edges)
     if not rest.isEmpty():
         more = written(verify(rest, texts, levels, threshold), "links")
         if not more.isEmpty():
-            roots = components(links.union(more))
+            old, roots = roots, components(links.union(more))
+            discard(old)
+    discard(texts, ranked, rest, links)
 
     root = F.coalesce("root", "node")
     of_node = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", root.alias("root"))
-    least = of_node.groupBy("root").agg(F.min("id").alias("class_id"))
+    least = written(of_node.groupBy("root").agg(F.min("id").alias("class_id")), "classes")
     classes = of_node.join(least, "root").select("node", "class_id")
     with_words = sketches.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "class_id")
     return with_words.unionByName(_without_words(docs, id_col, text_col))

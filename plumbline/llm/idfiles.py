@@ -170,8 +170,8 @@ def write_ids(
     """Writes every document's ids and ``end_id`` to ``files`` files in ascending order of id.
 
     Returns the files' table: file, first_id, first_tie, n_docs, n_ids, n_bytes.  Documents are
-    range-partitioned by id and, for equal ids, by the text's hash, so one id on a third of all
-    rows is dealt over many files too.  Null ids come first; null texts are empty; a task that
+    range-partitioned by id, for equal ids by the text's hash, and equal rows by their place in the
+    input, so one id or one row that is a third of all is dealt over many files too.  Null ids come first; null texts are empty; a task that
     runs again writes the same file again.  An empty table gives no files.
     """
     spark = docs.sparkSession
@@ -179,8 +179,8 @@ def write_ids(
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     where, path = store(folder)
     where.create_dir(path, recursive=True)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    order = ["id", "tie", "text"]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    order = ["id", "tie", "text", "nth"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, out, first = encoder(vocabulary), np.array([end_id], np.uint32), None, None
@@ -201,7 +201,7 @@ def write_ids(
             size = out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "first_id": first[0], "first_tie": first[1], "n_docs": len(out.docs), "n_ids": out.ids, "n_bytes": size}], schema=MANIFEST)
 
-    dealt = rows.repartitionByRange(files, "id", "tie").sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(files, "id", "tie", "nth").sortWithinPartitions(*order)
     return written(dealt.mapInArrow(write, "file string, first_id bigint, first_tie bigint, n_docs bigint, n_ids bigint, n_bytes bigint"), "id-files")
 
 

@@ -136,3 +136,14 @@ def test_id_files_odd_and_empty(spark, odd_docs, empty_docs):
     for r in rows:
         assert r["start"] == end and len(r["ids"]) == 4 * r["n_tokens"]
         end += r["n_tokens"]
+
+
+def test_one_row_a_third_of_all_goes_to_many_files(spark, tmp_path):
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text").union(spark.range(0, 100, 1, 8).selectExpr("77L AS doc_id", "'text 77' AS text"))
+    files = idfiles.write_ids(docs, f"file://{tmp_path}/ids", WORD, files=8)
+    rows = files.collect()
+    assert sum(r["n_docs"] for r in rows) == 300 and max(r["n_docs"] for r in rows) < 80
+    back = idfiles.read_ids(files).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == sorted([*range(200), *[77] * 100])
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(back, back[1:]))  # noqa: B905
+    assert len({r["ids_crc32"] for r in back if r["doc_id"] == 77}) == 1

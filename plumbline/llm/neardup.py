@@ -43,7 +43,7 @@ SMALL = 16
 SKETCH_BITS = 20
 LEVELS = 17
 IDF_SPAN = 0.5
-SALT_ROWS = 200
+SALT_ROWS = 50
 
 
 class Elements:
@@ -76,14 +76,15 @@ class Elements:
         self.off = np.searchsorted(of, np.arange(len(n) + 1))
         self.level = levels[self.slot] if levels is not None else None
 
-    def contents(self) -> list[bytes | None]:
-        """128 bits of each text's words in their order; None for a text without words."""
-        at = np.arange(len(self.words), dtype=U)
-        first = np.repeat(self.word_off[:-1], np.diff(self.word_off)).astype(U)
-        sums = [np.concatenate([[U(0)], np.cumsum(mix(self.words + (at - first + U(1)) * U(k)))]) for k in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
-        a, b = (mix(s[self.word_off[1:]] - s[self.word_off[:-1]]) for s in sums)
-        raw = np.stack([a, b], 1).tobytes()
-        return [raw[16 * i : 16 * i + 16] if n else None for i, n in enumerate(np.diff(self.word_off).tolist())]
+
+def contents(h: np.ndarray, off: np.ndarray) -> list[bytes | None]:
+    """128 bits of each text's words in their order; None for a text without words."""
+    at = np.arange(len(h), dtype=U)
+    first = np.repeat(off[:-1], np.diff(off)).astype(U)
+    sums = [np.concatenate([[U(0)], np.cumsum(mix(h + (at - first + U(1)) * U(k)))]) for k in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
+    a, b = (mix(s[off[1:]] - s[off[:-1]]) for s in sums)
+    raw = np.stack([a, b], 1).tobytes()
+    return [raw[16 * i : 16 * i + 16] if n else None for i, n in enumerate(np.diff(off).tolist())]
 
 
 @lru_cache(maxsize=1)
@@ -191,7 +192,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, levels) -> DataFrame:
                 full = np.flatnonzero(np.diff(e.off))
                 if not len(full):
                     continue
-                node = e.contents()
+                node = contents(e.words, e.word_off)
                 central = -np.add.reduceat(e.level.astype(np.float64), e.off[:-1][full]) / np.diff(e.off)[full]
                 keys = band_keys(signatures(e)).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
@@ -329,7 +330,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1):
-                node = Elements(part.column(1), None).contents()
+                node = contents(*words(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.binary()), part.column(1).cast(pa.string())], names=["id", "node", "text"])
 
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).mapInArrow(name, f"id {kind}, node binary, text string")

@@ -40,7 +40,8 @@ def candidate_counts(units: DataFrame, rule=criteria) -> DataFrame:
     shapes = shaped.groupBy(*keys).agg(F.count("*").alias("n"))
     q, c = shapes.alias("q"), shapes.alias("c")
     side = lambda s: {k: F.col(f"{s}.{k}") for k in keys}
-    totals = q.join(c, rule(side("q"), side("c"))).groupBy(*(F.col(f"q.{k}").alias(k) for k in keys)).agg(F.sum("c.n").alias("total"))
+    own = [F.col(f"q.{k}").alias(k) for k in (*keys, "n")]  # with n, both sides are the same plan and it runs once
+    totals = q.join(c, rule(side("q"), side("c"))).groupBy(*own).agg(F.sum("c.n").alias("total")).drop("n")
     return shaped.join(totals, keys, "left").select("id", F.greatest(F.coalesce("total", F.lit(0)) - 1, F.lit(0)).alias("n"))
 
 

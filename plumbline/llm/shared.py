@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,10 @@ SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch that a worker gets; one longer row may be more.
 BATCH_BYTES = 4 << 20
 _own_folder: str | None = None
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -60,6 +65,14 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _give_back() -> None:
+    """Returns what Arrow's pool and the C library hold unused to the system, or workers keep their
+    largest batch's memory for as long as they live."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def carried(docs: DataFrame, columns: list[str]) -> Column:
     """Those columns as one struct, which an operator hands through as it is, whatever their names."""
     return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))
@@ -80,3 +93,4 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, fil
             start, size = i, 0
         size += n
     yield batch.slice(start)
+    _give_back()

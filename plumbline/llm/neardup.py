@@ -10,13 +10,15 @@ size over all documents, so the table that is broadcast does not grow with the i
    ``LEVELS`` steps, so a sample costs one look-up an element.
 2. Candidates: documents that agree on a whole band.  Exact copies are taken together before, so a
    bucket holds different texts only.  In a bucket of at most ``SMALL`` all pairs are candidates; in
-   a larger one each is paired with its most central members, whose shingles are the most frequent
-   (an original is more central than its edited copies), and with all that agree on a second large
-   bucket too, by the same rule.
+   a larger one each is first paired with its most central members, whose shingles are the most
+   frequent (an original is more central than its edited copies), and with all that agree on a second
+   large bucket too, by the same rule.
 3. Verification: candidates' whole texts meet at the more central one, whose group is dealt over
    many tasks if it is large, and the weighted Jaccard similarity is computed in full.  Pairs of
    which it, or the same similarity with all weights 1, is ``SIMILARITY`` or more are links.
 4. Classes: connected components of links, by least labels with pointer jumping.
+5. Large buckets: the members of a bucket that are not in its largest class by now are compared with
+   all members, in blocks, so that every pair of it is in one class or has been compared in full.
 
 Candidates first go to the more central end only twice a document; the others are verified after
 that if their ends are in different classes still.
@@ -44,6 +46,10 @@ SKETCH_BITS = 20
 LEVELS = 17
 IDF_SPAN = 0.5
 SALT_ROWS = 50
+#: Texts, and elements of texts, that a block of a large bucket holds on average.
+BLOCK_ROWS, BLOCK_ELEMENTS = 512, 1 << 20
+#: Elements that two blocks are compared by at a time; sums of so many weights are exact in float32.
+COLUMNS = 4096
 
 
 class Elements:
@@ -76,6 +82,13 @@ class Elements:
         self.off = np.searchsorted(of, np.arange(len(n) + 1))
         self.level = levels[self.slot] if levels is not None else None
 
+    def rows(self, start: int, end: int) -> Elements:
+        """Those of the texts from ``start`` to before ``end``."""
+        out = object.__new__(Elements)
+        lo, hi = self.off[start], self.off[end]
+        out.element, out.level, out.of, out.off = self.element[lo:hi], self.level[lo:hi], self.of[lo:hi] - start, self.off[start : end + 1] - lo
+        return out
+
 
 def contents(h: np.ndarray, off: np.ndarray) -> list[bytes | None]:
     """128 bits of each text's words in their order; None for a text without words."""
@@ -181,8 +194,48 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (total - common), both.sum() / (len(x) + len(y) - both.sum())
 
 
+class Block:
+    """Some texts' elements by number, to be compared with those of other texts all at once."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]):
+        self.texts = len(texts)
+        n = [len(x) for x, _ in texts]
+        self.total = np.array(n) + IDF_SPAN / (LEVELS - 1) * np.array([lv.sum(dtype=np.int64) for _, lv in texts])
+        self.size = np.array(n)
+        element, level = (np.concatenate(x) for x in zip(*texts, strict=True))
+        self.vocabulary, first, number = np.unique(element, return_index=True, return_inverse=True)
+        self.weight = (1 + IDF_SPAN / (LEVELS - 1) * level[first]).astype(np.float32)
+        order = np.argsort(number, kind="stable")
+        self.row, self.off = np.repeat(np.arange(self.texts), n)[order], np.searchsorted(number[order], np.arange(len(self.vocabulary) + 1))
+
+    def similarities(self, e: Elements) -> tuple[np.ndarray, np.ndarray]:
+        """As :func:`similarity` of each text here (rows) and each of ``e`` (columns)."""
+        size = np.diff(e.off)
+        total = size + IDF_SPAN / (LEVELS - 1) * np.diff(np.concatenate([[0], np.cumsum(e.level, dtype=np.int64)])[e.off])
+        at = np.searchsorted(self.vocabulary, e.element)
+        at[at == len(self.vocabulary)] = 0
+        hit = np.flatnonzero(self.vocabulary[at] == e.element)
+        used, column = np.unique(at[hit], return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        column, of = column[order], e.of[hit][order]
+        common, weighted = (np.zeros((self.texts, len(size))) for _ in range(2))
+        for start in range(0, len(used), COLUMNS):
+            part = used[start : start + COLUMNS]
+            count = self.off[part + 1] - self.off[part]
+            own = np.zeros((self.texts, len(part)), np.float32)
+            flat = np.repeat(self.off[part] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            own[self.row[flat], np.repeat(np.arange(len(part)), count)] = 1
+            other = np.zeros((len(part), len(size)), np.float32)
+            lo, hi = np.searchsorted(column, [start, start + len(part)])
+            other[column[lo:hi] - start, of[lo:hi]] = 1
+            common += own @ other
+            weighted += (own * self.weight[part]) @ other
+        with np.errstate(invalid="ignore"):
+            return weighted / (self.total[:, None] + total - weighted), common / (self.size[:, None] + size - common)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, levels) -> DataFrame:
-    """Of each document with an id and words: its id, node (its content), central and bands."""
+    """Of each document with an id and words: its id, node (its content), size, central and bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +249,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, levels) -> DataFrame:
                 central = -np.add.reduceat(e.level.astype(np.float64), e.off[:-1][full]) / np.diff(e.off)[full]
                 keys = band_keys(signatures(e)).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), pa.array([node[i] for i in full], pa.binary()), pa.array(central), bands], names=["id", "node", "central", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), pa.array([node[i] for i in full], pa.binary()), pa.array(np.diff(e.off)[full], pa.int64()), pa.array(central), bands], names=["id", "node", "size", "central", "bands"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).mapInArrow(sketch, f"id {kind}, node binary, central double, bands array<bigint>")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).mapInArrow(sketch, f"id {kind}, node binary, size bigint, central double, bands array<bigint>")
 
 
 def _bucket_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,8 +272,9 @@ def _bucket_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return star.unionByName(pairs), large.select("key", "node", "central")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct edges (a, b, a_central) between nodes that agree on enough bands."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (a, b, a_central) between nodes that agree on enough bands, and the rows (key,
+    node, central) of the buckets of which these are not all pairs."""
     rows = nodes.select("node", "central", F.explode("bands").alias("key"))
     edges, large = _bucket_edges(rows)
     large = written(large, "large-buckets")
@@ -229,7 +283,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     more, _ = _bucket_edges(keys.where(F.size("k") > 1).select("node", "central", F.explode(twice).alias("key")))
     found = edges.unionByName(more.withColumn("sure", F.lit(True))).groupBy("a", "b").agg(F.first("a_central").alias("a_central"), F.count("*").alias("n"), F.max("sure").alias("sure"))
     busy = keys.select(F.col("node").alias("b"), F.lit(True).alias("busy"))
-    return found.join(busy, "b", "left").where("n > 1 OR sure OR busy").select("a", "b", "a_central")
+    return found.join(busy, "b", "left").where("n > 1 OR sure OR busy").select("a", "b", "a_central"), large
 
 
 def verify(edges: DataFrame, texts: DataFrame, levels, threshold: float = SIMILARITY) -> DataFrame:
@@ -264,6 +318,70 @@ def verify(edges: DataFrame, texts: DataFrame, levels, threshold: float = SIMILA
     return head.unionByName(body).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
+def verify_apart(large: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, levels, threshold: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between classes (node, root) that pairs in large buckets (key, node) make, as the
+    classes' roots.  Of each bucket, those outside its largest class meet all its members; what grows
+    with the square of a bucket are sums of matrices, and rows only with a block's share of it."""
+    member = large.select("key", "node").join(nodes.select("node", "size"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = written(member, "members")
+    of_root = member.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_ELEMENTS)).cast("int")
+    most = F.max(F.struct("n", "root", "size"))
+    per = of_root.groupBy("key").agg(most.alias("most"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("classes > 1")
+    per = written(per.select("key", F.col("most.root").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("heads"), blocks(F.col("n"), F.col("size")).alias("bodies")), "mixed-buckets")  # plain, so that a huge bucket's join can be split
+    rows = member.join(per, "key")
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    head = rows.where("root != main").select("key", own("heads", 1).alias("head"), each("bodies").alias("body"), F.lit(0).alias("role"), "root", "node")
+    body = rows.select("key", each("heads").alias("head"), own("bodies", 2).alias("body"), F.lit(1).alias("role"), "root", "node")
+    placed = head.unionByName(body).join(texts, "node").select("key", "head", "body", "role", "root", "text")
+    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads, head_root, block, joined = None, [], [], None, {}
+
+        def top(x: bytes) -> bytes:
+            while (up := joined.get(x, x)) != x:
+                joined[x] = joined.get(up, up)
+                x = up
+            return x
+
+        for batch in batches:
+            for part in text_slices(batch, 5):
+                e = Elements(part.column(5), levels.value)
+                unit = list(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True))
+                role, root = (part.column(c).to_pylist() for c in (3, 4))
+                found: list[tuple[bytes, bytes]] = []
+                i = 0
+                while i < len(unit):
+                    if unit[i] != at:
+                        at, heads, head_root, block, joined = unit[i], [], [], None, {}
+                    end = i + 1
+                    while end < min(len(unit), i + BLOCK_ROWS) and unit[end] == at and role[end] == role[i]:
+                        end += 1
+                    if role[i] == 0:
+                        heads += [(e.element[e.off[k] : e.off[k + 1]].copy(), e.level[e.off[k] : e.off[k + 1]].copy()) for k in range(i, end)]
+                        head_root += root[i:end]
+                    elif heads:
+                        block = block or Block(heads)
+                        near = np.maximum(*block.similarities(e.rows(i, end))) >= threshold
+                        code = {r: k for k, r in enumerate(dict.fromkeys(head_root + root[i:end]))}
+                        name = list(code)
+                        x, y = np.array([code[r] for r in head_root]), np.array([code[r] for r in root[i:end]])
+                        h, b = np.nonzero(near & (x[:, None] != y))
+                        for pair in np.unique(x[h] * len(name) + y[b]).tolist():
+                            p, q = name[pair // len(name)], name[pair % len(name)]
+                            if top(p) != top(q):  # a pair that others join already adds nothing
+                                joined[top(p)] = top(q)
+                                found.append((p, q))
+                    i = end
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return placed.repartition(n, "key", "head", "body").sortWithinPartitions("key", "head", "body", "role").mapInArrow(compare, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link: root is the least node of its component.  Each round
     spreads least labels over links and then jumps to the label's label; the number of rounds grows
@@ -294,10 +412,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col))
     sketches = written(_sketches(docs, id_col, text_col, levels), "sketches")
-    nodes = written(sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("central").alias("central"), F.first("bands").alias("bands")), "nodes")
-    edges = written(candidates(nodes), "candidates")
+    nodes = written(sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("central").alias("central"), F.first("bands").alias("bands")), "nodes")
+    edges, large = candidates(nodes)
+    edges = written(edges, "candidates")
 
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct().join(nodes.select("node", "id"), "node")
     texts = written(_texts_of(docs, wanted, id_col, text_col), "candidate-texts")
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("a_central"), "a"))
     ranked = written(edges.withColumn("k", best), "ranked")
@@ -311,9 +430,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         more = written(verify(rest, texts, levels, threshold), "links")
         if not more.isEmpty():
-            old, roots = roots, components(links.union(more))
+            old, roots, links = roots, components(links.union(more)), links.union(more)
+            discard(old)
+    if not large.isEmpty():
+        apart = written(verify_apart(large, nodes, texts, roots, levels, threshold), "links")
+        if not apart.isEmpty():
+            old, roots = roots, components(links.select("a", "b").union(apart))
             discard(old)
-    discard(texts, ranked, rest, links)
+        discard(apart)
+    discard(texts, ranked, rest, links, large)
 
     root = F.coalesce("root", "node")
     of_node = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", root.alias("root"))

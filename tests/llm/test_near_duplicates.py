@@ -79,6 +79,36 @@ def test_families_with_a_common_passage(spark):
     assert sum(got[i] == 0 for i in range(60)) > 50
 
 
+def test_pairs_inside_a_template_family(spark):
+    """Pages on one template that are near only in pairs: each pair is found, however large the bucket."""
+    rnd = random.Random(5)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    template, docs = fresh(174), {}
+    for i in range(0, 300, 2):
+        shared = fresh(8)
+        docs[i], docs[i + 1] = (template + shared + fresh(18) for _ in range(2))
+    texts = {i: " ".join(w) for i, w in docs.items()}
+    assert 0.75 < plain_jaccard(bag(texts[0]), bag(texts[2])) < 0.79 and 0.81 < plain_jaccard(bag(texts[0]), bag(texts[1])) < 0.85
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    want = brute_force(texts, neardup.frequency_levels(df))
+    assert want == {i: i // 2 * 2 for i in texts}
+    assert [i for i in texts if got[i] != want[i]] == []
+
+
+def test_blocks_compare_as_single_pairs_do(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    levels = np.random.default_rng(0).integers(0, neardup.LEVELS, 1 << neardup.SKETCH_BITS).astype(np.uint8)
+    rnd = random.Random(4)
+    base = [rnd.choice("abcd") for _ in range(60)]
+    e = neardup.Elements(pa.array([" ".join(edited(rnd, base, 0.05)) for _ in range(9)] + ["a", "other words here"]), levels)
+    own = [(e.element[e.off[i] : e.off[i + 1]], e.level[e.off[i] : e.off[i + 1]]) for i in range(11)]
+    weighted, plain = neardup.Block(own[:6]).similarities(e.rows(3, 11))
+    for i in range(6):
+        for j in range(3, 11):
+            assert (weighted[i, j - 3], plain[i, j - 3]) == neardup.similarity(own[i], own[j])
+
+
 def test_weighted_similarity_is_what_it_says():
     levels = np.random.default_rng(0).integers(0, neardup.LEVELS, 1 << neardup.SKETCH_BITS).astype(np.uint8)
     rnd = random.Random(2)

@@ -12,7 +12,7 @@ size over all documents, so the table that is broadcast does not grow with the i
    bucket holds different texts only.  In a bucket of at most ``SMALL`` all pairs are candidates; in
    a larger one each is first paired with its most central members, whose shingles are the most
    frequent (an original is more central than its edited copies), and with all that agree on a second
-   large bucket too, by the same rule.
+   large bucket too, by the same rule.  Pairs whose sizes alone rule out the similarity are left out.
 3. Verification: candidates' whole texts meet at the more central one, whose group is dealt over
    many tasks if it is large, and the weighted Jaccard similarity is computed in full.  Pairs of
    which it, or the same similarity with all weights 1, is ``SIMILARITY`` or more are links.
@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import words
@@ -254,10 +254,18 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, levels) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).mapInArrow(sketch, f"id {kind}, node binary, size bigint, central double, bands array<bigint>")
 
 
-def _bucket_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, node, central): candidate edges (a more central than b), and the rows of buckets
-    too large for all pairs."""
-    me = F.struct("central", "node")
+def _may_be_near(a: tuple[Column, Column], b: tuple[Column, Column], threshold: float) -> Column:
+    """Whether two texts' (size, central) allow for one of the similarities: no Jaccard similarity is
+    above the ratio of the two sizes, or of the two weights."""
+    weight = lambda x: x[0] * (1 - IDF_SPAN / (LEVELS - 1) * x[1])
+    ratio = lambda x, y: F.least(x, y) >= (threshold - 1e-9) * F.greatest(x, y)
+    return ratio(a[0], b[0]) | ratio(weight(a), weight(b))
+
+
+def _bucket_edges(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """From (key, node, central, size): candidate edges (a more central than b), and the rows of
+    buckets too large for all pairs."""
+    me = F.struct("central", "node", "size")
     half = F.pmod(F.xxhash64("node"), F.lit(2))
     buckets = rows.groupBy("key").agg(
         F.count("*").alias("n"), F.max(me).alias("t0"), F.max(F.when(half == 0, me)).alias("t1"), F.max(F.when(half == 1, me)).alias("t2")
@@ -265,25 +273,24 @@ def _bucket_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = written(buckets, "buckets")  # a join with a plain table can be split where one bucket is huge
     joined = rows.join(buckets, "key")
     large = joined.where(F.col("n") > SMALL)
-    star = large.select(F.explode(F.array_distinct(F.array_compact(F.array("t0", "t1", "t2")))).alias("t"), "central", "node").where(F.struct("central", "node") < F.col("t")).select(F.col("t.node").alias("a"), F.col("t.central").alias("a_central"), F.col("node").alias("b"), F.lit(True).alias("sure"))
+    star = large.select(F.explode(F.array_distinct(F.array_compact(F.array("t0", "t1", "t2")))).alias("a"), me.alias("b")).where("b < a")
     lists = joined.where(F.col("n") <= SMALL).repartition("key").groupBy("key").agg(F.array_sort(F.collect_list(me)).alias("m"))  # SMALL at most
-    tails = F.flatten(F.transform("m", lambda b, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda a: F.struct(a["node"].alias("a"), a["central"].alias("a_central"), b["node"].alias("b")))))
-    pairs = lists.select(F.explode(tails).alias("p")).select("p.*", F.lit(False).alias("sure"))
-    return star.unionByName(pairs), large.select("key", "node", "central")
+    tails = F.flatten(F.transform("m", lambda b, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = star.unionByName(lists.select(F.explode(tails).alias("p")).select("p.*"))
+    near = _may_be_near((F.col("a.size"), F.col("a.central")), (F.col("b.size"), F.col("b.central")), threshold)
+    return pairs.where(near).select(F.col("a.node").alias("a"), F.col("a.central").alias("a_central"), F.col("b.node").alias("b")), large.select("key", "node", "central", "size")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct edges (a, b, a_central) between nodes that agree on enough bands, and the rows (key,
-    node, central) of the buckets of which these are not all pairs."""
-    rows = nodes.select("node", "central", F.explode("bands").alias("key"))
-    edges, large = _bucket_edges(rows)
+def candidates(nodes: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (a, b, a_central) between nodes that agree on a band, and the rows (key, node,
+    central, size) of the buckets of which these are not all pairs."""
+    rows = nodes.select("node", "central", "size", F.explode("bands").alias("key"))
+    edges, large = _bucket_edges(rows, threshold)
     large = written(large, "large-buckets")
-    keys = large.groupBy("node", "central").agg(F.array_sort(F.collect_set("key")).alias("k"))  # BANDS at most
+    keys = large.groupBy("node", "central", "size").agg(F.array_sort(F.collect_set("key")).alias("k"))  # BANDS at most
     twice = F.transform(F.slice("k", 2, BANDS), lambda y, i: F.xxhash64(F.get("k", i), y))
-    more, _ = _bucket_edges(keys.where(F.size("k") > 1).select("node", "central", F.explode(twice).alias("key")))
-    found = edges.unionByName(more.withColumn("sure", F.lit(True))).groupBy("a", "b").agg(F.first("a_central").alias("a_central"), F.count("*").alias("n"), F.max("sure").alias("sure"))
-    busy = keys.select(F.col("node").alias("b"), F.lit(True).alias("busy"))
-    return found.join(busy, "b", "left").where("n > 1 OR sure OR busy").select("a", "b", "a_central"), large
+    more, _ = _bucket_edges(keys.where(F.size("k") > 1).select("node", "central", "size", F.explode(twice).alias("key")), threshold)
+    return edges.unionByName(more).groupBy("a", "b").agg(F.first("a_central").alias("a_central")), large
 
 
 def verify(edges: DataFrame, texts: DataFrame, levels, threshold: float = SIMILARITY) -> DataFrame:
@@ -318,11 +325,11 @@ def verify(edges: DataFrame, texts: DataFrame, levels, threshold: float = SIMILA
     return head.unionByName(body).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def verify_apart(large: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, levels, threshold: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between classes (node, root) that pairs in large buckets (key, node) make, as the
+def verify_apart(large: DataFrame, texts: DataFrame, roots: DataFrame, levels, threshold: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between classes (node, root) that pairs in large buckets (key, node, size) make, as the
     classes' roots.  Of each bucket, those outside its largest class meet all its members; what grows
     with the square of a bucket are sums of matrices, and rows only with a block's share of it."""
-    member = large.select("key", "node").join(nodes.select("node", "size"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = large.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = written(member, "members")
     of_root = member.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     blocks = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_ELEMENTS)).cast("int")
@@ -413,7 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col))
     sketches = written(_sketches(docs, id_col, text_col, levels), "sketches")
     nodes = written(sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("central").alias("central"), F.first("bands").alias("bands")), "nodes")
-    edges, large = candidates(nodes)
+    edges, large = candidates(nodes, threshold)
     edges = written(edges, "candidates")
 
     wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct().join(nodes.select("node", "id"), "node")
@@ -433,7 +440,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             old, roots, links = roots, components(links.union(more)), links.union(more)
             discard(old)
     if not large.isEmpty():
-        apart = written(verify_apart(large, nodes, texts, roots, levels, threshold), "links")
+        apart = written(verify_apart(large, texts, roots, levels, threshold), "links")
         if not apart.isEmpty():
             old, roots = roots, components(links.select("a", "b").union(apart))
             discard(old)

@@ -96,6 +96,29 @@ def test_pairs_inside_a_template_family(spark):
     assert [i for i in texts if got[i] != want[i]] == []
 
 
+def test_pairs_that_agree_on_one_band_only(spark):
+    rnd = random.Random(8)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(2000):
+        w = fresh(60)
+        texts += [" ".join(w), " ".join(w[:54] + fresh(6))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    levels = neardup.frequency_levels(df)
+    e = neardup.Elements(pa.array(texts), levels)
+    keys, own = neardup.band_keys(neardup.signatures(e)), [(e.element[e.off[i] : e.off[i + 1]], e.level[e.off[i] : e.off[i + 1]]) for i in range(len(texts))]
+    bands = {i: int((keys[i] == keys[i + 1]).sum()) for i in range(0, len(texts), 2) if max(neardup.similarity(own[i], own[i + 1])) >= 0.8}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert 1 in bands.values() and [i for i, n in bands.items() if n and got[i + 1] != i] == []
+
+
+def test_sizes_rule_out_no_near_pair(spark):
+    rows = [(10, -8.0, 8, -8.0), (10, -8.0, 7, -8.0), (100, -2.0, 79, -16.0), (100, 0.0, 80, 0.0)]
+    df = spark.createDataFrame(rows, "n long, c double, m long, d double")
+    may = neardup._may_be_near((df["n"], df["c"]), (df["m"], df["d"]), 0.8)
+    assert [r[0] for r in df.select(may).collect()] == [True, False, True, True]
+
+
 def test_blocks_compare_as_single_pairs_do(monkeypatch):
     monkeypatch.setattr(neardup, "COLUMNS", 7)
     levels = np.random.default_rng(0).integers(0, neardup.LEVELS, 1 << neardup.SKETCH_BITS).astype(np.uint8)

@@ -138,7 +138,8 @@ def rename_fold(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def full_normalization(spark: SparkSession, sf: str) -> DataFrame:
     code = F.concat(F.lit("def f("), F.array_join(F.slice(F.split("code", r"[^A-Za-z]+"), 1, 3), ", "), F.lit("):\n    "), F.replace("code", F.lit("\n"), F.lit("\n    ")))
-    return _ascii(spark, sf).select("doc_id", normalize.code_hash(normalize.normalize(code)).alias("code_hash"))
+    docs = tables.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("code"))
+    return docs.select("doc_id", normalize.code_hash(normalize.normalize(code)).alias("code_hash"))
 
 
 # --- filters and candidate counts

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import normalize, score, udfs
+from plumbline.plans import queries
 
 
 def plain_normalize(code):
@@ -53,6 +54,16 @@ def test_normalization_equals_plain_python(spark):
         assert got[i] == (want, hashlib.sha256(want.encode()).hexdigest()), code
 
 
+def test_full_normalization_takes_the_text_as_it_is(spark, tmp_path):
+    texts = ["el año", "el a o", "слово", "другое", "same\nwords", "same  \twords", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["code_hash"] for r in queries.full_normalization(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        names = ", ".join(re.split("[^A-Za-z]+", text or "")[:3])
+        assert got[i] == hashlib.sha256(plain_normalize(f"def f({names}):\n    " + (text or "").replace("\n", "\n    ")).encode()).hexdigest()
+    assert got[0] != got[1] and got[2] != got[3]
+
+
 def test_renaming_keeps_the_normal_form(spark):
     pair = ["def add(a, b):\n    t = a * b\n    return t", "def mul(left, right):\n    # other names\n    out = left * right\n\n    return out"]
     rows = spark.createDataFrame([(c,) for c in pair], "code string").select(normalize.normalize(F.col("code")).alias("n")).collect()

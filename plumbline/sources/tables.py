@@ -43,7 +43,7 @@ def line_statements(documents: DataFrame) -> DataFrame:
     lines = documents.select(F.col("doc_id").alias("func"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("index", "line"))
     words = F.filter(F.split("line", " "), lambda w: w != "")
     return lines.select("func", "index", words.alias("w")).select(
-        "func", "index", F.slice("w", 1, 1).alias("writes"), F.array_distinct(F.slice("w", 2, 1_000_000)).alias("reads")
+        "func", "index", F.slice("w", 1, 1).alias("writes"), F.array_distinct(F.slice("w", F.lit(2), F.size("w"))).alias("reads")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import normalize, score, udfs
 from plumbline.plans import queries
+from plumbline.sources import tables
 
 
 def plain_normalize(code):
@@ -64,6 +65,13 @@ def test_full_normalization_takes_the_text_as_it_is(spark, tmp_path):
     assert got[0] != got[1] and got[2] != got[3]
 
 
+def test_statements_read_all_words_of_a_line(spark):
+    n = 1_000_005
+    docs = spark.createDataFrame([(1, "w " + "x " * n + "last"), (2, "a b\n\nc"), (3, None)], "doc_id bigint, text string")
+    got = {(r["func"], r["index"]): (r["writes"], sorted(r["reads"])) for r in tables.line_statements(docs).collect()}
+    assert got == {(1, 0): (["w"], ["last", "x"]), (2, 0): (["a"], ["b"]), (2, 1): ([], []), (2, 2): (["c"], []), (3, 0): ([], [])}
+
+
 def test_renaming_keeps_the_normal_form(spark):
     pair = ["def add(a, b):\n    t = a * b\n    return t", "def mul(left, right):\n    # other names\n    out = left * right\n\n    return out"]
     rows = spark.createDataFrame([(c,) for c in pair], "code string").select(normalize.normalize(F.col("code")).alias("n")).collect()

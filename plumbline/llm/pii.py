@@ -63,6 +63,12 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a number, however many zeros it begins with, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") < 256
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     after, at = 0, text.find("@")
     while at >= 0:
@@ -95,7 +101,7 @@ def find_spans(text: str, has_at: bool = True, has_digit: bool = True) -> list[t
     if has_at:
         found += [(a, 0, b) for a, b in _emails(text)]
     if has_digit:
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(g.lstrip("0")) < 4 and int(g) < 256 for g in m.groups())]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_is_byte, m.groups()))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -172,9 +178,11 @@ def span_list(spans: Column | str, kinds: tuple[str, ...] | None = None) -> Colu
 
 def span_report(found: DataFrame, id_col: str, base: tuple[str, ...]) -> DataFrame:
     """One row a document: how many spans there are of each base kind, a digest of the base spans,
-    and all spans."""
+    all spans and, where spans have scores, their scores in the same order."""
     def of(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     count = [of(k) for k in base]
-    return found.select(id_col, *count, F.sha2(span_list("spans", base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+    scored = "score" in found.schema["spans"].dataType.elementType.names
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores")
+    return found.select(id_col, *count, F.sha2(span_list("spans", base), 256).alias("base_sha256"), span_list("spans").alias("spans"), *([scores] if scored else []))

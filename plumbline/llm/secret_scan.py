@@ -49,6 +49,7 @@ PATTERNS = {
     "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 }
+_RUN = re.compile(r"[A-Za-z0-9_-]+")  # what follows it decides for every start of a token inside
 _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 _IS_HEX = np.isin(np.arange(256), [*range(48, 58), *range(97, 103)])
 _DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -84,7 +85,7 @@ def _jwt_header(token: str) -> bool:
     head = token.split(".", 1)[0]
     try:
         found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no base64, no JSON, or one nested too deep to be a header
         return False
     return isinstance(found, dict) and "alg" in found
 
@@ -112,6 +113,8 @@ def find_spans(text: str, small: str | None = None, has_hex: bool = True) -> lis
             after[kind] = m.end()
             if _confirmed(kind, m):
                 found.append((start, KINDS.index(kind), m.end()))
+        elif kind == "jwt" and start >= after[kind]:
+            after[kind] = _RUN.match(text, start).end()
     if has_hex:
         found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]

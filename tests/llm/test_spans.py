@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -176,3 +177,18 @@ def test_decontamination_bears_odd_rows(spark, odd_docs, empty_docs):
     assert len(rows) == odd_docs.count() and sum(r["contaminated"] for r in rows) >= 3
     none = decontaminate.contamination(decontaminate.find_benchmark(odd_docs, items.limit(0))).collect()
     assert not any(r["contaminated"] for r in none)
+
+
+def test_hostile_texts_are_quick_and_equal_the_contract(spark):
+    deep = secret_scan.base64.urlsafe_b64encode(b"[" * 100_000).decode().rstrip("=")
+    texts = {1: "0" * 5000 + "1.2.3.4 and 1.2.3." + "0" * 5000 + " 1.2.3." + "0" * 5000 + "256", 2: "eyJ" * 350_000, 3: f"eyJ{deep}.a.b eyJhbGciOiJIUzI1NiJ9.e30.x", 4: ("eyJa" * 10 + ".") * 30_000, 5: "password" * 100_000, 6: None, 7: "xoxb-" * 100_000}
+    began = time.time()
+    own = {i: secret_scan.find_spans(t or "") for i, t in texts.items()}
+    assert time.time() - began < 20
+    assert [k for k, *_ in own[3]] == ["jwt"] and not own[2] and base(own[4], secret_scan.BASE) == []
+    assert [s[:3] for s in pii.find_spans(texts[1])] == [("ip", 0, 5007), ("ip", 5012, 10018)]
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in pii.span_report(secret_scan.scan(df), "doc_id", secret_scan.BASE).collect()}
+    assert {i: r["spans"] for i, r in rows.items()} == {i: joined(s) for i, s in own.items()}
+    rows = {r["doc_id"]: r for r in pii.span_report(pii.scan(df), "doc_id", pii.BASE).collect()}
+    assert rows[1]["n_ip"] == 2 and rows[1]["scores"] == "0.6,0.6" and rows[6]["scores"] == ""

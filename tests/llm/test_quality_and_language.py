@@ -131,6 +131,25 @@ def test_sample_is_bounded_and_order_free(spark):
     assert sum(len(t) for t in sampling.labelled_sample(hot, hot, "lang", 50, 1000)[1]["y"]) <= 500
 
 
+def test_sample_loses_no_label(spark):
+    """A long text drawn early, many labels, repeated label rows and labels without a document."""
+    docs = spark.range(600).selectExpr("id AS doc_id", "IF(id % 2 = 0, repeat('long ', 5000), 'short ' || id) AS text", "IF(id < 300, 'aa', 'bb') AS lang")
+    counts, sample = sampling.labelled_sample(docs, docs, "lang", 50, 20_000)
+    plain = {i for i in range(600) if not fold(i)}
+    assert counts == {"aa": sum(i < 300 for i in plain), "bb": sum(i >= 300 for i in plain)}
+    assert all(len(sample[k]) > 10 and all(t.startswith("short") for t in sample[k]) for k in ("aa", "bb"))
+    only = sampling.labelled_sample(docs.where("doc_id % 2 = 0"), docs, "lang", 50, 20_000)[1]
+    assert {k: len(v) for k, v in only.items()} == {"aa": 1, "bb": 1}
+    many = spark.range(9000).selectExpr("id AS doc_id", "'text ' || id AS text", "concat('l', id % 300) AS lang")
+    counts, sample = sampling.labelled_sample(many, many, "lang", 1200, 1 << 20)
+    assert len(counts) == len(sample) == 300 and min(map(len, sample.values())) > 5
+    with pytest.raises(ValueError, match="most_labels"):
+        sampling.labelled_sample(many, many, "lang", 1200, 1 << 20, most_labels=299)
+    labels = docs.select("doc_id", "lang").union(spark.range(1000).selectExpr("5L", "'aa'")).union(spark.range(1000, 1500).selectExpr("id", "'bb'"))
+    again = sampling.labelled_sample(docs, labels, "lang", 50, 20_000)
+    assert again[0] == {"aa": sum(i < 300 for i in plain), "bb": sum(i >= 300 for i in plain)} and again[1] == sampling.labelled_sample(docs, docs, "lang", 50, 20_000)[1]
+
+
 @pytest.mark.parametrize("learned", [False, True])
 def test_models_bear_odd_rows(spark, odd_docs, empty_docs, learned):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -2,8 +2,10 @@
 
 A document is the bag of its shingles of five words (all its words, if fewer), each with a TF-IDF
 weight: a shingle that occurs n times is n elements, and an element weighs between 1 (in every
-document) and ``1 + IDF_SPAN`` (in one).  Document frequencies come from a count sketch of fixed
-size over all documents, so the table that is broadcast does not grow with the input.
+document) and ``1 + IDF_SPAN`` (in one).  Document frequencies come from a count-min sketch over all
+documents: ``SKETCH_ROWS`` rows, each less what its median slot holds, of which the least counts.
+A row is as wide as the text asks for, up to ``2**SKETCH_BITS`` slots, so what is broadcast stays
+below 13 MB; two documents always see the same weight of a shingle, however crowded the slots are.
 
 1. Signatures: ``BANDS x ROWS`` samples a document.  The gamma and uniform variates of a sample are
    read from tables of 2**16 draws, at a hash of the element and the sample's number; weights have
@@ -15,7 +17,7 @@ size over all documents, so the table that is broadcast does not grow with the i
    large bucket too, by the same rule.  Pairs whose sizes alone rule out the similarity are left out.
 3. Verification: candidates' whole texts meet at the more central one, whose group is dealt over
    many tasks if it is large, and the weighted Jaccard similarity is computed in full.  Pairs of
-   which it, or the same similarity with all weights 1, is ``SIMILARITY`` or more are links.
+   which it is ``SIMILARITY`` or more are links.
 4. Classes: connected components of links, by least labels with pointer jumping.
 5. Large buckets: the members of a bucket that are not in its largest class by now are compared with
    all members, in blocks, so that every pair of it is in one class or has been compared in full.
@@ -27,7 +29,7 @@ that if their ends are in different classes still.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +37,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import words
-from plumbline.llm.shared import bounded_batches, discard, text_slices, written
+from plumbline.llm.shared import bounded_batches, discard, scratch, text_slices, written
 from plumbline.llm.textbuf import U, grams, mix
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SMALL = 16
-SKETCH_BITS = 20
+SKETCH_ROWS, LEAST_SKETCH_BITS, SKETCH_BITS = 3, 18, 22
+#: Bytes of text for each slot of a row.
+SLOT_BYTES = 1 << 10
 LEVELS = 17
 IDF_SPAN = 0.5
 SALT_ROWS = 50
 #: Texts, and elements of texts, that a block of a large bucket holds on average.
 BLOCK_ROWS, BLOCK_ELEMENTS = 512, 1 << 20
+#: Texts to be verified up to which their ids are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 #: Elements that two blocks are compared by at a time; sums of so many weights are exact in float32.
 COLUMNS = 4096
 
 
+def slots(shingle: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The slot of each shingle in a row of the sketch: other bits of its hash in each row."""
+    return ((shingle << U(21 * row)) >> U(64 - bits)).astype(np.int64)
+
+
 class Elements:
-    """The weighted elements of some texts, sorted by text and then by hash."""
+    """The weighted elements of some texts, sorted by text and then by hash.  ``levels`` is the table
+    of :func:`frequency_levels`; without it there are no levels."""
 
     def __init__(self, texts: pa.Array, levels: np.ndarray | None):
         self.words, self.word_off = words(texts)
@@ -72,15 +84,17 @@ class Elements:
         new[1:] = (shingle[1:] != shingle[:-1]) | (of[1:] != of[:-1])
         start = np.flatnonzero(new)
         nth = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
-        self.slot = (shingle >> U(64 - SKETCH_BITS)).astype(np.int64)
-        self.first = new
         element = np.where(nth == 0, shingle, mix(shingle + nth.astype(U) * U(0x9E3779B97F4A7C15)))
+        self.distinct = shingle[new]
         if not new.all():
             order = np.lexsort((element, of))
-            element, self.slot, self.first = element[order], self.slot[order], new[order]
+            element, shingle = element[order], shingle[order]
         self.of, self.element = of, element
         self.off = np.searchsorted(of, np.arange(len(n) + 1))
-        self.level = levels[self.slot] if levels is not None else None
+        if levels is not None:
+            table = np.atleast_2d(levels)
+            bits = table.shape[1].bit_length() - 1
+            self.level = np.maximum.reduce([row[slots(shingle, r, bits)] for r, row in enumerate(table)])
 
     def rows(self, start: int, end: int) -> Elements:
         """Those of the texts from ``start`` to before ``end``."""
@@ -140,58 +154,67 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key
 
 
+def sketch_bits(text_bytes: int) -> int:
+    """How wide a row of the sketch is for so much text."""
+    return min(SKETCH_BITS, max(LEAST_SKETCH_BITS, (text_bytes // SLOT_BYTES).bit_length()))
+
+
 def frequency_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The weight level of each slot of the sketch, from how many documents fall in it."""
+    """The weight level of each slot of the sketch's rows, from how many documents fall in it."""
     bounded_batches(docs.sparkSession)
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0)
+    width = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros(1 << SKETCH_BITS, np.int64), 0
+        seen, texts = np.zeros((SKETCH_ROWS, width), np.int64), 0
         for batch in batches:
             for part in text_slices(batch, 0):
                 e = Elements(part.column(0), None)
-                seen += np.bincount(e.slot[e.first], minlength=1 << SKETCH_BITS)
+                for r in range(SKETCH_ROWS):
+                    np.add.at(seen[r], slots(e.distinct, r, bits), 1)
                 texts += int((np.diff(e.off) > 0).sum())
         blocks = seen.reshape(-1, 1 << 12)
         used = np.flatnonzero(blocks.any(1))
-        raw = [blocks[b].astype("<i4" if blocks[b].max() < 1 << 31 else "<i8").tobytes() for b in used]
+        raw = [blocks[b].astype(next(k for k in ("<u2", "<i4", "<i8") if blocks[b].max() <= np.iinfo(k).max)).tobytes() for b in used]
         yield pa.RecordBatch.from_arrays([pa.array([*used, -1], pa.int32()), pa.array([*raw, np.array([texts], "<i8").tobytes()], pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<i8" if b < 0 or len(raw) > 4 << 12 else "<i4").astype(np.int64)
+                part = np.frombuffer(raw, "<i8" if b < 0 else {13: "<u2", 14: "<i4", 15: "<i8"}[len(raw).bit_length() - 1]).astype(np.int64)
                 total[b] = total[b] + part if b in total else part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
     parts = docs.select(text_col).mapInArrow(count, "block int, counts binary")
     summed = parts.repartition(F.col("block")).mapInArrow(add, "block int, counts binary")
-    seen, n = np.zeros(1 << SKETCH_BITS, np.int64), 0
-    for r in summed.collect():  # the sketch: 8 MB, whatever the input
+    seen, n = np.zeros(SKETCH_ROWS << bits, np.int64), 0
+    for r in summed.toLocalIterator():  # the sketch: 100 MB at most, whatever the input
         part = np.frombuffer(bytes(r["counts"]), "<i8")
         if r["block"] < 0:
             n += int(part[0])
         else:
             seen[r["block"] << 12 : (r["block"] + 1) << 12] += part
-    noise = np.median(seen)  # what a slot holds of rare shingles that are not the one asked for
+    seen = seen.reshape(SKETCH_ROWS, width)
+    noise = np.median(seen, axis=1, keepdims=True)  # what a slot holds of rare shingles that are not the one asked for
     df = np.clip(seen - noise, 1, max(n, 1))
-    rarity = np.log((1 + n) / (1 + df)) / np.log((1 + max(n, 1)) / 2) if n > 1 else np.ones(len(df))
+    rarity = np.log((1 + n) / (1 + df)) / np.log((1 + max(n, 1)) / 2) if n > 1 else np.ones(df.shape)
     return np.clip(np.round(rarity * (LEVELS - 1)), 0, LEVELS - 1).astype(np.uint8)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """The weighted and the plain Jaccard similarity of two sorted element arrays with levels."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The weighted Jaccard similarity of two sorted element arrays with levels."""
     (x, lx), (y, ly) = a, b
     if len(x) < len(y):
         (x, lx), (y, ly) = (y, ly), (x, lx)
     if not len(y):
-        return 0.0, 0.0
+        return 0.0
     at = np.searchsorted(x, y)
     at[at == len(x)] = 0
     both = x[at] == y
     step = IDF_SPAN / (LEVELS - 1)
     common, total = both.sum() + step * int(ly[both].sum(dtype=np.int64)), len(x) + len(y) + step * (int(lx.sum(dtype=np.int64)) + int(ly.sum(dtype=np.int64)))
-    return common / (total - common), both.sum() / (len(x) + len(y) - both.sum())
+    return float(common / (total - common))
 
 
 class Block:
@@ -201,14 +224,13 @@ class Block:
         self.texts = len(texts)
         n = [len(x) for x, _ in texts]
         self.total = np.array(n) + IDF_SPAN / (LEVELS - 1) * np.array([lv.sum(dtype=np.int64) for _, lv in texts])
-        self.size = np.array(n)
         element, level = (np.concatenate(x) for x in zip(*texts, strict=True))
         self.vocabulary, first, number = np.unique(element, return_index=True, return_inverse=True)
         self.weight = (1 + IDF_SPAN / (LEVELS - 1) * level[first]).astype(np.float32)
         order = np.argsort(number, kind="stable")
         self.row, self.off = np.repeat(np.arange(self.texts), n)[order], np.searchsorted(number[order], np.arange(len(self.vocabulary) + 1))
 
-    def similarities(self, e: Elements) -> tuple[np.ndarray, np.ndarray]:
+    def similarities(self, e: Elements) -> np.ndarray:
         """As :func:`similarity` of each text here (rows) and each of ``e`` (columns)."""
         size = np.diff(e.off)
         total = size + IDF_SPAN / (LEVELS - 1) * np.diff(np.concatenate([[0], np.cumsum(e.level, dtype=np.int64)])[e.off])
@@ -218,24 +240,24 @@ class Block:
         used, column = np.unique(at[hit], return_inverse=True)
         order = np.argsort(column, kind="stable")
         column, of = column[order], e.of[hit][order]
-        common, weighted = (np.zeros((self.texts, len(size))) for _ in range(2))
+        weighted = np.zeros((self.texts, len(size)))
         for start in range(0, len(used), COLUMNS):
             part = used[start : start + COLUMNS]
             count = self.off[part + 1] - self.off[part]
             own = np.zeros((self.texts, len(part)), np.float32)
             flat = np.repeat(self.off[part] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            own[self.row[flat], np.repeat(np.arange(len(part)), count)] = 1
+            own[self.row[flat], np.repeat(np.arange(len(part)), count)] = np.repeat(self.weight[part], count)
             other = np.zeros((len(part), len(size)), np.float32)
             lo, hi = np.searchsorted(column, [start, start + len(part)])
             other[column[lo:hi] - start, of[lo:hi]] = 1
-            common += own @ other
-            weighted += (own * self.weight[part]) @ other
+            weighted += own @ other
         with np.errstate(invalid="ignore"):
-            return weighted / (self.total[:, None] + total - weighted), common / (self.size[:, None] + size - common)
+            return weighted / (self.total[:, None] + total - weighted)
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, levels) -> DataFrame:
-    """Of each document with an id and words: its id, node (its content), size, central and bands."""
+    """Of each document with an id and words: its id, mark (a hash of its text), node (its content),
+    size, central and bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,17 +271,18 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, levels) -> DataFrame:
                 central = -np.add.reduceat(e.level.astype(np.float64), e.off[:-1][full]) / np.diff(e.off)[full]
                 keys = band_keys(signatures(e)).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), pa.array([node[i] for i in full], pa.binary()), pa.array(np.diff(e.off)[full], pa.int64()), pa.array(central), bands], names=["id", "node", "size", "central", "bands"])
+                own, mark = (part.column(c).take(pa.array(full)) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([own, mark, pa.array([node[i] for i in full], pa.binary()), pa.array(np.diff(e.off)[full], pa.int64()), pa.array(central), bands], names=["id", "mark", "node", "size", "central", "bands"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).mapInArrow(sketch, f"id {kind}, node binary, size bigint, central double, bands array<bigint>")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    return rows.mapInArrow(sketch, f"id {kind}, mark bigint, node binary, size bigint, central double, bands array<bigint>")
 
 
 def _may_be_near(a: tuple[Column, Column], b: tuple[Column, Column], threshold: float) -> Column:
-    """Whether two texts' (size, central) allow for one of the similarities: no Jaccard similarity is
-    above the ratio of the two sizes, or of the two weights."""
-    weight = lambda x: x[0] * (1 - IDF_SPAN / (LEVELS - 1) * x[1])
-    ratio = lambda x, y: F.least(x, y) >= (threshold - 1e-9) * F.greatest(x, y)
-    return ratio(a[0], b[0]) | ratio(weight(a), weight(b))
+    """Whether two texts' (size, central) allow for the similarity: none is above the ratio of the two
+    weights."""
+    x, y = (size * (1 - IDF_SPAN / (LEVELS - 1) * central) for size, central in (a, b))
+    return F.least(x, y) >= (threshold - 1e-9) * F.greatest(x, y)
 
 
 def _bucket_edges(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -301,7 +324,6 @@ def verify(edges: DataFrame, texts: DataFrame, levels, threshold: float = SIMILA
     head = texts.join(per, texts["own"] == per["a"]).select("a", F.explode(F.sequence(F.lit(0), salts)).alias("salt"), F.lit(0).alias("role"), F.lit(None).cast("binary").alias("b"), "text")
     body = edges.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), salts + 1).cast("int").alias("salt"))
     body = texts.join(body, texts["own"] == body["b"]).select("a", "salt", F.lit(1).alias("role"), "b", "text")
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, at = None, None
@@ -315,20 +337,21 @@ def verify(edges: DataFrame, texts: DataFrame, levels, threshold: float = SIMILA
                     if role[i] == 0:
                         head, at = tuple(x.copy() for x in own), (a[i], salt[i])
                     elif at == (a[i], salt[i]):
-                        weighted, plain = similarity(head, own)
-                        if max(weighted, plain) >= threshold:
-                            found.append((a[i], b[i], weighted))
+                        near = similarity(head, own)
+                        if near >= threshold:
+                            found.append((a[i], b[i], near))
                 if found:
                     cols = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2])], names=["a", "b", "similarity"])
 
-    return head.unionByName(body).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a binary, b binary, similarity double")
+    return head.unionByName(body).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
 def verify_apart(large: DataFrame, texts: DataFrame, roots: DataFrame, levels, threshold: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between classes (node, root) that pairs in large buckets (key, node, size) make, as the
-    classes' roots.  Of each bucket, those outside its largest class meet all its members; what grows
-    with the square of a bucket are sums of matrices, and rows only with a block's share of it."""
+    """Links (a, b, similarity) between texts of different classes (node, root) that share a large bucket
+    (key, node, size): one at least for each two classes that have any.  Of each bucket, those outside
+    its largest class meet all its members; what grows with the square of a bucket are sums of matrices,
+    and rows only with a block's share of it."""
     member = large.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = written(member, "members")
     of_root = member.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -341,11 +364,10 @@ def verify_apart(large: DataFrame, texts: DataFrame, roots: DataFrame, levels, t
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     head = rows.where("root != main").select("key", own("heads", 1).alias("head"), each("bodies").alias("body"), F.lit(0).alias("role"), "root", "node")
     body = rows.select("key", each("heads").alias("head"), own("bodies", 2).alias("body"), F.lit(1).alias("role"), "root", "node")
-    placed = head.unionByName(body).join(texts, "node").select("key", "head", "body", "role", "root", "text")
-    n = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = head.unionByName(body).join(texts, "node").select("key", "head", "body", "role", "root", "node", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, heads, head_root, block, joined = None, [], [], None, {}
+        at, heads, head_root, head_node, block, joined = None, [], [], [], None, {}
 
         def top(x: bytes) -> bytes:
             while (up := joined.get(x, x)) != x:
@@ -354,39 +376,41 @@ def verify_apart(large: DataFrame, texts: DataFrame, roots: DataFrame, levels, t
             return x
 
         for batch in batches:
-            for part in text_slices(batch, 5):
-                e = Elements(part.column(5), levels.value)
+            for part in text_slices(batch, 6):
+                e = Elements(part.column(6), levels.value)
                 unit = list(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True))
-                role, root = (part.column(c).to_pylist() for c in (3, 4))
-                found: list[tuple[bytes, bytes]] = []
+                role, root, node = (part.column(c).to_pylist() for c in (3, 4, 5))
+                found: list[tuple[bytes, bytes, float]] = []
                 i = 0
                 while i < len(unit):
                     if unit[i] != at:
-                        at, heads, head_root, block, joined = unit[i], [], [], None, {}
+                        at, heads, head_root, head_node, block, joined = unit[i], [], [], [], None, {}
                     end = i + 1
                     while end < min(len(unit), i + BLOCK_ROWS) and unit[end] == at and role[end] == role[i]:
                         end += 1
                     if role[i] == 0:
                         heads += [(e.element[e.off[k] : e.off[k + 1]].copy(), e.level[e.off[k] : e.off[k + 1]].copy()) for k in range(i, end)]
                         head_root += root[i:end]
+                        head_node += node[i:end]
                     elif heads:
                         block = block or Block(heads)
-                        near = np.maximum(*block.similarities(e.rows(i, end))) >= threshold
+                        near = block.similarities(e.rows(i, end))
                         code = {r: k for k, r in enumerate(dict.fromkeys(head_root + root[i:end]))}
-                        name = list(code)
                         x, y = np.array([code[r] for r in head_root]), np.array([code[r] for r in root[i:end]])
-                        h, b = np.nonzero(near & (x[:, None] != y))
-                        for pair in np.unique(x[h] * len(name) + y[b]).tolist():
-                            p, q = name[pair // len(name)], name[pair % len(name)]
-                            if top(p) != top(q):  # a pair that others join already adds nothing
-                                joined[top(p)] = top(q)
-                                found.append((p, q))
+                        h, b = np.nonzero((near >= threshold) & (x[:, None] != y))
+                        pair = x[h] * len(code) + y[b]
+                        order = np.lexsort((-near[h, b], pair))
+                        for k in order[np.append(True, np.diff(pair[order]) != 0)[: len(order)]].tolist():
+                            p, q = top(head_root[h[k]]), top(root[i + b[k]])
+                            if p != q:  # a pair that others join already adds nothing
+                                joined[p] = q
+                                found.append((head_node[h[k]], node[i + b[k]], float(near[h[k], b[k]])))
                     i = end
                 if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    a, b, near = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(near)], names=["a", "b", "similarity"])
 
-    return placed.repartition(n, "key", "head", "body").sortWithinPartitions("key", "head", "body", "role").mapInArrow(compare, "a binary, b binary")
+    return placed.repartition("key", "head", "body").sortWithinPartitions("key", "head", "body", "role", "node").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -407,56 +431,82 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row a document: the id column and class_id, the least id among the documents that links
-    of ``threshold`` or more join, directly or through others.
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all documents with an id and words, and of each of their nodes: node, id (the
+    least with it), root (of its class), class_id, near_id and similarity (of a copy or its closest link, or null)."""
+    with scratch(docs.sparkSession):
+        return _class_tables(docs, id_col, text_col, threshold)
 
-    Texts with the same words in the same order (small letters, without punctuation) are copies.  A
-    document without words (null, empty, signs only) is a class by itself.  Rows with a null id have
-    a null class.  Repeated rows have a row each; rows that share an id but not a text are judged
-    each by its text.
-    """
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(frequency_levels(docs, text_col))
-    sketches = written(_sketches(docs, id_col, text_col, levels), "sketches")
-    nodes = written(sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("central").alias("central"), F.first("bands").alias("bands")), "nodes")
+
+def _class_tables(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, text_col))
+    sketches = written(_sketches(docs, id_col, text_col, levels), "sketches", keep=True)
+    nodes = written(sketches.groupBy("node").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("size").alias("size"), F.first("central").alias("central"), F.first("bands").alias("bands")), "nodes")
     edges, large = candidates(nodes, threshold)
     edges = written(edges, "candidates")
 
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct().join(nodes.select("node", "id"), "node")
+    wanted = written(edges.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct().join(nodes.select("node", "id"), "node"), "wanted")
     texts = written(_texts_of(docs, wanted, id_col, text_col), "candidate-texts")
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("a_central"), "a"))
     ranked = written(edges.withColumn("k", best), "ranked")
-    links = written(verify(ranked.where("k <= 2"), texts, levels, threshold), "links")
-    roots = components(links)
+    links = [written(verify(ranked.where("k <= 2"), texts, levels, threshold), "links")]
+    roots = components(links[0])
     rest = ranked.where("k > 2").select("a", "b")
     for end in ("a", "b"):
         rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
     rest = written(rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "rest")
-    discard(edges)
+
+    def add(more: DataFrame, roots: DataFrame) -> DataFrame:
+        links.append(written(more, "links"))
+        if links[-1].isEmpty():
+            return roots
+        discard(roots)
+        return components(_all(links))
+
     if not rest.isEmpty():
-        more = written(verify(rest, texts, levels, threshold), "links")
-        if not more.isEmpty():
-            old, roots, links = roots, components(links.union(more)), links.union(more)
-            discard(old)
+        roots = add(verify(rest, texts, levels, threshold), roots)
     if not large.isEmpty():
-        apart = written(verify_apart(large, texts, roots, levels, threshold), "links")
-        if not apart.isEmpty():
-            old, roots = roots, components(links.select("a", "b").union(apart))
-            discard(old)
-        discard(apart)
-    discard(texts, ranked, rest, links, large)
+        roots = add(verify_apart(large, texts, roots, levels, threshold), roots)
+
+    named = nodes.select("node", "id", "last").join(roots, "node", "left").select("node", "id", "last", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("class_id"))
+    both = _all(links).select("a", "b", "similarity").union(_all(links).select("b", "a", "similarity"))
+    closest = both.join(nodes.select(F.col("node").alias("b"), "id"), "b").groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("similarity")).alias("far"), "id")).alias("near"))
+    out = named.join(least, "root").join(closest, "node", "left")
+    copies = F.col("last") != F.col("id")
+    near_id, near = F.when(copies, F.col("last")).otherwise(F.col("near.id")), F.when(copies, 1.0).otherwise(-F.col("near.far"))
+    return sketches, written(out.select("node", "id", "root", "class_id", near_id.alias("near_id"), near.alias("similarity")), "classes", keep=True)
 
-    root = F.coalesce("root", "node")
-    of_node = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", root.alias("root"))
-    least = written(of_node.groupBy("root").agg(F.min("id").alias("class_id")), "classes")
-    classes = of_node.join(least, "root").select("node", "class_id")
-    with_words = sketches.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "class_id")
-    return with_words.unionByName(_without_words(docs, id_col, text_col))
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, links)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row a document: the id column; class_id, the least id among the documents that links of
+    ``threshold`` or more join, directly or through others; near_id and similarity, the closest
+    document that it was compared with and found near, and how near (1 for a copy); null if there
+    is none.  Pairs that are in one class by other links need not have been compared.
+
+    Texts with the same words in the same order (small letters, without punctuation) are copies: of
+    them, all but the least id have that as near_id, and that has the greatest.  A document without words (null, empty, signs
+    only) is a class by itself.  Rows with a null id have a null class.  Repeated rows have a row
+    each; rows that share an id but not a text are judged each by its text.
+    """
+    sketches, classes = _classes(docs, id_col, text_col, threshold)
+    copy = F.col("own") != F.col("id")
+    rows = sketches.select(F.col("id").alias("own"), "node").join(classes, "node")
+    with_words = rows.select(
+        F.col("own").alias(id_col), "class_id", F.when(copy, F.col("id")).otherwise(F.col("near_id")).alias("near_id"),
+        F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"),
+    )
+    alone = _without_words(docs, id_col, text_col)
+    return with_words.unionByName(alone.withColumns({"near_id": F.lit(None).cast(alone.schema[id_col].dataType), "similarity": F.lit(None).cast("double")}))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) for the wanted nodes, each from the document that stands for it."""
+    """(node, text) for the wanted nodes, each from the document that stands for it.  Only texts with
+    a wanted id are hashed and moved."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,19 +515,36 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 node = contents(*words(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.binary()), part.column(1).cast(pa.string())], names=["id", "node", "text"])
 
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_col).mapInArrow(name, f"id {kind}, node binary, text string")
+    ids = wanted.select(F.col("id").alias("_wanted")).distinct()
+    if wanted.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    named = rows.join(ids, rows["id"] == ids["_wanted"], "left_semi").mapInArrow(name, f"id {kind}, node binary, text string")
     return named.join(wanted, ["id", "node"]).groupBy("node").agg(F.min("text").alias("text"))
 
 
+def _wordless(text_col: str) -> Column:
+    return F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
+
 def _without_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    wordless = F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    return docs.where(F.col(id_col).isNull() | wordless).select(F.col(id_col), F.col(id_col).alias("class_id"))
+    return docs.where(F.col(id_col).isNull() | _wordless(text_col)).select(F.col(id_col), F.col(id_col).alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that have a near duplicate with a smaller id: one document of
-    each class stays, with all its columns, and once if its row repeats.  Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, threshold)
-    kept = found.where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
-    stay = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col, text_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each class of :func:`near_duplicates`, with all its columns: the one with the
+    least id, and, if several texts of the class have it, one of these texts.
+
+    Rows are told apart by id and text: an id that also has a text of another class stays or goes with
+    each text by itself.  Equal rows are one row; rows that share id and text but differ elsewhere all
+    stay or go together.  Rows with a null id and documents without words stay.
+    """
+    sketches, classes = _classes(docs, id_col, text_col, threshold)
+    rows = sketches.select(F.col("id").alias("own"), "mark", "node").join(classes.select("node", "root", "class_id"), "node").where("own = class_id")
+    text = rows.groupBy("root", "class_id").agg(F.min(F.struct("node", "mark")).alias("of"))
+    kept = text.select(F.col("class_id").alias("_id"), F.col("of.mark").alias("_mark"))
+    able = docs.where(F.col(id_col).isNotNull() & ~_wordless(text_col))
+    stay = able.join(kept, (able[id_col] == kept["_id"]) & (F.xxhash64(able[text_col]) == kept["_mark"]), "left_semi")
+    alone = docs.where(F.col(id_col).isNotNull() & _wordless(text_col))
+    comparable = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return stay.unionByName(alone).dropDuplicates(comparable).unionByName(docs.where(F.col(id_col).isNull()))

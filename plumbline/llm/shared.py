@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,23 +48,47 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes inside go when it ends, but for those to keep, which belong to
+    the scratch around it or, if there is none, stay."""
+    folder = fresh_path(spark, "scratch")
+    token = _scratch.set((*_scratch.get(), folder))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        _delete(spark, folder)
+
+
+def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there, so a
-    lost executor costs only the tasks that it ran."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
+    lost executor costs only the tasks that it ran.  ``keep``: a returned plan reads it."""
+    spark, open_ = df.sparkSession, _scratch.get()[: -1 if keep else None]
+    path = f"{open_[-1]}/{what}-{uuid.uuid4().hex}" if open_ else fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that :func:`written` made and that no plan reads any more, in whichever store
     they lie.  What a returned plan still reads stays in the shared folder."""
     for df in tables:
-        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, folder)
+
+
+def partitions_for(spark: SparkSession, size: int, each: int = 128 << 20) -> int:
+    """Partitions for so many bytes: no fewer than the session's, none of much more than ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def _give_back() -> None:

@@ -1,10 +1,9 @@
 import pytest
-from test_near_duplicates import brute_force
+from plain_neardup import brute_force
 from test_packing_and_id_files import check_pieces
 from test_spans import plain_hits, plain_pii
 
 import corpus_pipeline
-from plumbline.llm import neardup
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +33,7 @@ def test_each_stage_on_its_own_input(spark):
 
     unique = step("MinHash near-dedup", known)
     before = texts(known)
-    least = brute_force(before, neardup.frequency_levels(known))
+    least = brute_force(before)
     assert texts(unique) == {d: t for d, t in before.items() if least[d] == d}
 
     clean = step("benchmark decontamination", unique)

@@ -10,19 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.license_texts import NOTICES, SPELLINGS, TEXTS
+from plumbline.llm.license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 #: Known licences up to which their digests are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 10_000
 
 # Fixed patterns, read alike by Java and RE2.
+_BREAK = r"\r\n?"
 _SIGNS = r"[^\p{L}\p{N}\n]+"
-_COPYRIGHT_LINE = r"^(copyright (c |[0-9]{4}|year|yyyy)|c ([0-9]{4}|year|yyyy)|all rights reserved$)"
+#: With or without "portions" and a sign; a year first, or the holder first and a year last.
+_COPYRIGHT_LINE = r"^((portions |parts )?(copyright )+(c |by |[0-9]{4}|year|yyyy|.* [0-9]{4}$)|c ([0-9]{4}|year|yyyy)|spdx filecopyrighttext |all rights reserved$)"
 
 
 def canonical_lines(text: Column) -> Column:
     """The lines in small letters, without punctuation and with one spelling."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SIGNS, " ")
+    plain = F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), _BREAK, "\n"), F.lit("\u00a9"), F.lit(" copyright c "))
+    out = F.regexp_replace(F.lower(plain), _SIGNS, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.transform(F.split(out, "\n"), lambda line: F.trim(line))
@@ -34,9 +37,12 @@ def canonical_text(lines: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str, str]] = TEXTS) -> DataFrame:
-    """(digest, license_id) of the built-in licence texts, with and without their titles."""
+    """(digest, license_id) of the built-in licence texts, with and without their titles, and of the
+    long ones that are known by digest only."""
     rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, title, body in texts for t in (body, f"{title}\n\n{body}")))
-    return digests(spark.range(1).select(F.explode(rows).alias("r")).select("r.license_id", "r.text"))
+    short = digests(spark.range(1).select(F.explode(rows).alias("r")).select("r.license_id", "r.text"))
+    long = F.array(*(F.struct(F.lit(d).alias("digest"), F.lit(k).alias("license_id")) for k, d in DIGESTS))
+    return short.unionByName(spark.range(1).select(F.explode(long).alias("r")).select("r.*"))
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -79,7 +85,8 @@ def _quoted(text: str) -> str:
 
 
 def _sql_lines(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(_SIGNS)}, ' ', 'g')"
+    plain = f"replace(regexp_replace(coalesce({text}, ''), {_quoted(_BREAK)}, chr(10), 'g'), chr(169), ' copyright c ')"
+    out = f"regexp_replace(lower({plain}), {_quoted(_SIGNS)}, ' ', 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
     return f"list_transform(string_split({out}, chr(10)), lambda l: trim(l))"
@@ -92,10 +99,12 @@ def _sql_text(lines: str) -> str:
 def oracle_sql() -> str:
     """The scan over ``documents`` in DuckDB's SQL."""
     texts = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, title, body in TEXTS for t in (body, f"{title}\n\n{body}"))
+    long = ", ".join(f"({_quoted(d)}, {_quoted(k)})" for k, d in DIGESTS)
     notices = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in NOTICES)
     return f"""
 WITH known AS (
   SELECT sha256({_sql_text(_sql_lines("body"))}) AS digest, min(id) AS license_id FROM (VALUES {texts}) AS v(id, body) GROUP BY 1
+  UNION ALL SELECT * FROM (VALUES {long})
 ), notice AS (
   SELECT DISTINCT id, {_sql_lines("line")}[1] AS form FROM (VALUES {notices}) AS v(id, line)
 ), docs AS (

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -49,3 +51,23 @@ def test_bears_odd_rows_and_stays_native(spark, odd_docs, empty_docs):
     assert licenses.scan(data).count() == odd_docs.count()
     plan = licenses.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def test_copyright_lines_in_many_forms(spark):
+    body = license_texts.TEXTS[0][2]
+    heads = ["© 2024 Jane Doe\n", "Copyright © 2024 Jane Doe\n", "Copyright Jane Doe 2024\n", "Portions copyright 2020 X\n", "Copyright 2020 X\r", "Copyright (c) 2020 X\r\rAll rights reserved.\r\r", "Copyright 2020-2024 by X, Y\n",
+             " * © Jane Doe, 2019\n", "Copyright by Jane Doe\n", "SPDX-FileCopyrightText: 2020 X\n", "(c) 2020 X. All rights reserved.\n"]
+    assert [r["license_id"] for r in scanned(spark, [h + body for h in heads])] == ["MIT"] * len(heads)
+    assert scanned(spark, ["copyright holders of 2020 things\n" + body])[0]["license_id"] is None
+
+
+def test_long_licences(spark):
+    """By digest; held against the texts where the system has them."""
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {k: v for k, v in names.items() if (folder / k).exists()}
+    texts = [(folder / k).read_text() for k in there]
+    other = [t.upper().replace("\n", " \r\n\t") for t in texts]
+    assert [r["license_id"] for r in scanned(spark, texts + other)] == [*there.values()] * 2
+    assert [r["license_id"] for r in scanned(spark, [t.replace(" the ", " teh ", 1) for t in texts])] == [None] * len(there)
+    assert set(names.values()) | {"BSL-1.0"} <= {k for k, _ in license_texts.DIGESTS} and len({d for _, d in license_texts.DIGESTS}) == len(license_texts.DIGESTS)

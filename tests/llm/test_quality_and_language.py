@@ -1,9 +1,15 @@
+import math
 import re
+import subprocess
+import sys
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from plumbline.llm import langid, quality_rules, quality_score, queries, sampling
@@ -101,7 +107,112 @@ def test_models_ignore_the_held_out_fold(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     flipped = labels.withColumn("quality", F.when(sampling.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality_score.fit(docs, labels), quality_score.fit(docs, flipped)
-    assert (a.weights == b.weights).all() and a.good == b.good
+    assert (a.value == b.value).all() and a.good == b.good and a.bad == b.bad
+
+
+def test_scores_by_compression_equal_a_plain_restatement(spark, odd_docs):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_score.fit(docs, labels)
+
+    def size(text, raw):
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if model.trained else zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=held, write_content_size=False, write_dict_id=False).compress(text))
+
+    def plain(text):
+        raw = (text or "").encode()
+        x = (size(raw, model.bad) - size(raw, model.good)) / math.sqrt(len(raw) + 1)
+        knots = list(zip(model.difference.tolist(), model.value.tolist(), strict=True))
+        if x <= knots[0][0]:
+            return knots[0][1]
+        for (a, u), (b, v) in zip(knots, knots[1:]):  # noqa: B905
+            if x <= b:
+                return u + (v - u) * (x - a) / (b - a)
+        return knots[-1][1]
+
+    both = docs.select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
+    want = Counter((d, t, round(plain(t), 9)) for d, t in ((r["doc_id"], r["text"]) for r in both.collect()))
+    texts = both.withColumn("doc_id", F.struct("doc_id", "text"))  # the id is carried as it is
+    got = quality_score.predict(texts, model).collect()
+    assert Counter((r["doc_id"]["doc_id"], r["doc_id"]["text"], round(r["score"], 9)) for r in got) == want
+    assert (np.diff(model.difference) > 0).all() and (np.diff(model.value) > 0).all()
+
+
+def test_isotonic_equals_the_best_monotone_fit():
+    """The value at a place is max over starts of min over ends of means."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 30, 200).astype(float)
+    y, w = (rng.uniform(size=200) < x / 30).astype(float), rng.uniform(0.5, 2, 200)
+    at, value = quality_score.isotonic(x, y, w)
+    mean = lambda a, b: (w * y)[(x >= a) & (x <= b)].sum() / w[(x >= a) & (x <= b)].sum()
+    places = np.unique(x)
+    best = [max(min(mean(a, b) for b in places[places >= p]) for a in places[places <= p]) for p in places]
+    assert sorted(set(np.round(best, 9))) == np.round(value, 9).tolist() and (np.diff(at) > 0).all()
+
+
+def plain_language(model, text):
+    """The likeliest language and its probability, n-gram by n-gram."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 1.0
+    small, tf = text.lower(), Counter()
+    for i in range(len(small)):
+        g = 0
+        for n in (1, 2, 3):
+            if i + n <= len(small):
+                g = (g * 0x01000193 + ord(small[i + n - 1]) + n) % 2**32
+                tf[((g ^ (g >> 15)) * 0x9E3779B1 % 2**32) >> (32 - model.bits)] += 1
+    value = {f: (1 + math.log(n)) * model.idf[f] for f, n in tf.items()}
+    norm = math.sqrt(sum(v * v for v in value.values()))
+    z = [sum(v / norm * float(model.weights[f, k]) for f, v in value.items()) / model.temperature for k in range(len(model.languages))]
+    e = [math.exp(v - max(z)) for v in z]
+    return model.languages[e.index(max(e))], max(e) / sum(e)
+
+
+def test_languages_equal_a_plain_restatement(spark, odd_docs, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r["text"] for r in docs.limit(60).collect() + odd_docs.collect()]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for r in got:
+        lang, score = plain_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6)
+    whole = [x.tolist() for x in langid._counts([t or "" for t in texts], 15)]
+    for piece in (7, 500):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert [x.tolist() for x in langid._counts([t or "" for t in texts], 15)] == whole
+
+
+def test_a_very_long_text_needs_little_memory(spark):
+    """Counted in another process, whose peak is its own."""
+    code = "import resource; from plumbline.llm import langid; t = 'some Words ' * 3_600_000; a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; n = langid._counts([t], 15)[2].sum(); print(n, len(t), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) >> 10)"
+    n, size, mb = map(int, subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout.split())
+    assert n == 3 * size - 3 and mb < 300
+
+
+def test_ftrl_equals_a_plain_restatement():
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.uniform(0.1, 1, 4), int(rng.integers(3))) for _ in range(30)]
+    z, n = ([[0.0] * 3 for _ in range(12)] for _ in range(2))
+
+    def weight(f, k):
+        if abs(z[f][k]) <= langid.L1:
+            return 0.0
+        return (math.copysign(langid.L1, z[f][k]) - z[f][k]) / ((langid.BETA + math.sqrt(n[f][k])) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(1)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(rows)):
+            at, value, y = rows[i]
+            w = {(f, k): weight(f, k) for f in at for k in range(3)}
+            s = [sum(v * w[f, k] for f, v in zip(at, value, strict=True)) for k in range(3)]
+            e = [math.exp(x - max(s)) for x in s]
+            for f, v in zip(at, value, strict=True):
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    z[f][k] += g - (math.sqrt(n[f][k] + g * g) - math.sqrt(n[f][k])) / langid.ALPHA * w[f, k]
+                    n[f][k] += g * g
+    want = [[weight(f, k) for k in range(3)] for f in range(12)]
+    got = langid.fit_ftrl(rows, 13, 3)
+    assert np.allclose(got[:12], want, atol=1e-9) and (got[12] == 0).all()
 
 
 def test_ngram_counts_equal_brute_force():

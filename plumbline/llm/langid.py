@@ -26,6 +26,8 @@ SAMPLE_ROWS = 1200
 SAMPLE_BYTES = 24 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.5, 3
 UNKNOWN = "und"
+#: Characters whose n-grams are counted at once.
+PIECE = 1 << 19
 
 
 def has_letter(text: str | None) -> bool:
@@ -33,22 +35,48 @@ def has_letter(text: str | None) -> bool:
 
 
 def _counts(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, feature, count) of every n-gram feature of each text, in this order."""
-    small = [t.lower() for t in texts]
-    off = np.concatenate([[0], np.cumsum([len(t) for t in small])])
+    """(text, feature, count) of every n-gram feature of each text, in this order.  Characters are
+    taken ``PIECE`` at a time, so that a long text needs little more than itself."""
+    n = np.zeros(len(texts) << bits, np.int64)
+    small, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        text = text.lower()
+        if size and size + len(text) > PIECE:
+            _add(n, small, first, bits)
+            small, size, first = [], 0, i
+        if len(text) <= PIECE:
+            small.append(text)
+            size += len(text)
+            continue
+        for a in range(0, len(text), PIECE):
+            _add(n, [text[a : a + PIECE + NGRAMS[-1] - 1]], i, bits, PIECE)
+        first = i + 1
+    _add(n, small, first, bits)
+    key = np.flatnonzero(n)
+    return key >> bits, key & ((1 << bits) - 1), n[key]
+
+
+def _add(n: np.ndarray, small: list[str], first: int, bits: int, starts: int | None = None) -> None:
+    """Adds the n-grams of some texts, the first of which has the number ``first``, to the counts;
+    with ``starts`` only those that begin before it."""
+    off = np.cumsum([0, *map(len, small)])
     c = np.frombuffer("".join(small).encode("utf-32-le", "surrogatepass"), "<u4")
-    of = np.repeat(np.arange(len(texts)), np.diff(off))
-    keys, g = [], np.zeros(len(c), np.uint32)
-    for n in NGRAMS:
-        if len(c) < n:
+    of = np.repeat(np.arange(first, first + len(small)), np.diff(off))
+    g = np.zeros(len(c), np.uint32)
+    for k in NGRAMS:
+        if len(c) < k:
             break
-        g = g[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] + np.uint32(n)
+        g = g[: len(c) - k + 1] * np.uint32(0x01000193) + c[k - 1 :] + np.uint32(k)
         mixed = (g ^ (g >> np.uint32(15))) * np.uint32(0x9E3779B1)
-        inside = of[: len(g)] == of[n - 1 :]
-        keys.append(((of[: len(g)] << bits) + (mixed >> np.uint32(32 - bits)))[inside])
-    n = np.bincount(np.concatenate(keys), minlength=len(texts) << bits) if keys else np.zeros(0, np.int64)
-    key = np.flatnonzero(n)
-    return key >> bits, key & ((1 << bits) - 1), n[key]
+        inside = of[: len(g)] == of[k - 1 :]
+        if starts is not None:
+            inside[starts:] = False
+        key = ((of[: len(g)] << bits) + (mixed >> np.uint32(32 - bits)))[inside]
+        if starts is None:
+            n += np.bincount(key, minlength=len(n))
+        else:
+            at = first << bits
+            n[at : at + (1 << bits)] += np.bincount(key - at, minlength=1 << bits)
 
 
 def _groups(texts: list[str], bits: int) -> Iterator[tuple[int, int]]:

@@ -5,18 +5,21 @@ Two texts that share a window have the same least gram in it, so joining these f
 every shared window; each hit is then extended to whole windows of words, which are compared in
 full (by a 64-bit hash of the words).  Items too short for a window are looked up as they are.
 
-The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_BYTES`` of text,
-each broadcast once, so its size bounds neither memory nor the broadcast.
+The benchmark is the stated query set: its distinct items are taken in blocks of about
+``BLOCK_BYTES`` of text, each broadcast once, so its size bounds neither memory nor the broadcast.
+Each block is one scan of the documents; of all but the first only the hits are written, by the
+digest of the text that they are in, and joined to the documents in the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import bounded_batches, carried, text_slices, written
@@ -25,6 +28,7 @@ from plumbline.llm.textbuf import Hasher, U, buffers, byte_codes, grams, mix, ru
 WINDOW = 13
 GRAM = 5
 BLOCK_BYTES = 16 << 20
+CELLS = 1 << 16
 _WORD = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _CODES = byte_codes(lower=True)
 
@@ -135,12 +139,22 @@ class Index:
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[tuple[list[str], list[str | None]]]:
-    """The items in blocks of about ``most`` bytes of text; ids as strings, a null one as ''."""
-    rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
-    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // most))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        got = part.collect()  # about `most` bytes
+    """The distinct items in blocks of about ``most`` bytes of text; ids as strings, a null one as ''.
+    Items are dealt to ``CELLS`` cells by hash, and a block is a run of cells that are not empty."""
+    rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    cell = F.pmod(F.xxhash64("id", "text"), F.lit(CELLS)).alias("cell")
+    sizes = {r["cell"]: r["n"] for r in rows.groupBy(cell).agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # <= CELLS rows
+    runs, size = [[0, 0]], 0
+    for k in sorted(sizes):
+        if size and size + sizes[k] > most:
+            runs.append([k, k])
+            size = 0
+        size += sizes[k]
+        runs[-1][1] = k
+    if len(runs) > 1:
+        rows = written(rows, "benchmark")
+    for first, last in runs:
+        got = (rows if len(runs) == 1 else rows.where(cell.between(first, last))).collect()  # about `most` bytes
         yield [r["id"] for r in got], [r["text"] for r in got]
 
 
@@ -155,23 +169,54 @@ def find_benchmark(
     Null and empty texts have no words and no hits; so do all documents if there are no items.
     Repeated documents have a row each; an item id that repeats counts once.
     """
-    bounded_batches(docs.sparkSession)
-    state = docs.select(
-        F.col(text_col).alias("text"), carried(docs, [c for c in docs.columns if c != text_col] if whole_rows else [id_col]).alias("rest"),
-        F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"),
-    )
-    schema = f"text string, rest {dict(state.dtypes)['rest']}, n_words bigint, hits array<struct<start:bigint,stop:bigint>>, items array<string>"
-    for k, (ids, texts) in enumerate(_blocks(items, item_col, item_text_col, block_bytes)):
-        if k:
-            state = written(state.select("text", "rest", "hits", "items"), "decontaminated")
-        state = state.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(Index(ids, texts, window, gram))), schema)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rest = carried(docs, [c for c in docs.columns if c != text_col] if whole_rows else [id_col]).alias("rest")
+    whole = docs.select(F.col(text_col).alias("text"), rest)
+    found, more = None, []
+    for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
+        shared = spark.sparkContext.broadcast(Index(ids, texts, window, gram))
+        if found is None:
+            found = whole.mapInArrow(_scan(shared), f"text string, rest {dict(whole.dtypes)['rest']}, n_words bigint, {HITS}")
+        else:
+            only = docs.select(F.col(text_col).alias("text"), F.struct(_mark(text_col).alias("mark")).alias("rest"))
+            hit = only.mapInArrow(_scan(shared, hits_only=True), f"rest struct<mark:binary>, {HITS}")
+            more.append(written(hit.select("rest.mark", "hits", "items").groupBy("mark").agg(F.first("hits").alias("hits"), F.first("items").alias("items")), "hits"))
+    if more:
+        found = _merged(found, reduce(DataFrame.unionByName, more))
     row = F.struct(*((F.col("text") if c == text_col else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns)).alias("row") if whole_rows else None
-    return state.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "hits", "items", *([row] if whole_rows else []))
+    return found.select(F.col(f"rest.`{id_col}`").alias(id_col), "n_words", "hits", "items", *([row] if whole_rows else []))
+
+
+HITS = "hits array<struct<start:bigint,stop:bigint>>, items array<string>"
+
+
+def _mark(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
 
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The first block's rows with the hits of the others, which are by text."""
+    of_text = more.groupBy("mark").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))  # a row a block
+    of_text = written(of_text, "hits")
+    both = found.withColumn("mark", _mark("text")).join(of_text, "mark", "left")
 
-def _scan(shared):
+    def add(runs: Column, s: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        touching = (F.size(runs) > 0) & (s["start"] <= last["stop"])
+        return F.when(touching, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(s)))
+
+    kind = dict(found.dtypes)["hits"]
+    spans = F.array_sort(F.concat("hits", F.coalesce("more_hits", F.array().cast(kind))))
+    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))))
+    return both.withColumns({"hits": F.aggregate(spans, F.array().cast(kind), add), "items": items}).drop("mark", "more_hits", "more_items")
+
+
+def _scan(shared, hits_only: bool = False):
+    """The hits of each row's text with the rest of the row; with ``hits_only``, of rows that have
+    any and without the text."""
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    kinds = [pa.int64(), pa.list_(span), pa.list_(pa.string())]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -186,25 +231,16 @@ def _scan(shared):
                 found: list[list[str]] = [[] for _ in range(part.num_rows)]
                 for t, i in pairs:
                     found[t].append(index.ids[i])
-                for t, before in enumerate(part.column(2).to_pylist()):
-                    spans[t] = _union(spans[t] + before) if before else spans[t]
-                for t, before in enumerate(part.column(3).to_pylist()):
-                    found[t] = sorted({*found[t], *(before or [])})
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(x, k) for x, k in zip((np.diff(off), spans, found), kinds, strict=True))], names=["text", "rest", "n_words", "hits", "items"])
+                columns = [pa.array(spans, pa.list_(span)), pa.array([sorted({*x}) for x in found], pa.list_(pa.string()))]
+                if hits_only:
+                    some = pa.array([t for t, x in enumerate(found) if x], pa.int64())
+                    yield pa.RecordBatch.from_arrays([x.take(some) for x in (part.column(1), *columns)], names=["rest", "hits", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.diff(off), pa.int64()), *columns], names=["text", "rest", "n_words", "hits", "items"])
 
     return scan
 
 
-def _union(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: s["start"]):
-        if out and s["start"] <= out[-1]["stop"]:
-            out[-1]["stop"] = max(out[-1]["stop"], s["stop"])
-        else:
-            out.append(dict(s))
-    return out
-
-
 def contamination(found: DataFrame, share: int = 20) -> DataFrame:
     """:func:`find_benchmark`'s rows with n_hit, n_items, items_sha256 and contaminated: words are
     hit, and they are at least one in ``share`` of the document's."""

@@ -192,3 +192,15 @@ def test_hostile_texts_are_quick_and_equal_the_contract(spark):
     assert {i: r["spans"] for i, r in rows.items()} == {i: joined(s) for i, s in own.items()}
     rows = {r["doc_id"]: r for r in pii.span_report(pii.scan(df), "doc_id", pii.BASE).collect()}
     assert rows[1]["n_ip"] == 2 and rows[1]["scores"] == "0.6,0.6" and rows[6]["scores"] == ""
+
+
+def test_blocks_hold_distinct_items_evenly(spark):
+    items = spark.createDataFrame([(i % 40, "word " * 30 + str(i % 40)) for i in range(3000)] + [(None, None)], "item_id bigint, text string")
+    blocks = list(decontaminate._blocks(items, "item_id", "text", 1000))
+    assert 7 <= len(blocks) <= 40 and sorted(i for ids, _ in blocks for i in ids) == sorted(["", *map(str, range(40))])
+    assert max(sum(map(len, texts)) for _, texts in blocks) <= 1000
+    docs = [(1, "word " * 30 + "7"), (1, "word " * 30 + "7"), (2, "x " * 20 + "word " * 13), (3, None), (4, "none of it")]
+    found = decontaminate.find_benchmark(spark.createDataFrame(docs, "doc_id bigint, text string"), items, block_bytes=1000, whole_rows=True)
+    rows = decontaminate.contamination(found).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in rows) == sorted(plain_hits(docs, [(i, "word " * 30 + str(i)) for i in range(40)]))
+    assert all((r["row"]["doc_id"], r["row"]["text"]) in docs for r in rows)

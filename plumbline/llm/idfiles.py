@@ -26,8 +26,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from plumbline.llm.shared import bounded_batches, fresh_path, text_slices, written
+from plumbline.llm.shared import bounded_batches, fresh_path, partitions_for, text_slices, written
 from plumbline.llm.tokens import encoder
 
 MAGIC = b"PLBIDS01"
@@ -167,7 +168,9 @@ def write_ids(
     docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
     end_id: int = 2, kind: str = "byte", files: int | None = None,
 ) -> DataFrame:
-    """Writes every document's ids and ``end_id`` to ``files`` files in ascending order of id.
+    """Writes every document's ids and ``end_id`` to ``files`` files in ascending order of id; without
+    a number, to as many as the session has shuffle partitions, or more, of 128 MB of text each.  Ids
+    are integers; another type is refused.
 
     Returns the files' table: file, first_id, first_tie, n_docs, n_ids, n_bytes.  Documents are
     range-partitioned by id, for equal ids by the text's hash, and equal rows by their place in the
@@ -176,7 +179,10 @@ def write_ids(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer column: the files hold 64-bit ids")
+    if not files:
+        files = partitions_for(spark, docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0)
     where, path = store(folder)
     where.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
@@ -214,7 +220,7 @@ def read_ids(files: DataFrame, with_ids: bool = False) -> DataFrame:
     ``files`` has a row for each file; the running sum over it is the only thing in one task."""
     before = F.sum("n_ids").over(Window.orderBy(F.asc_nulls_first("first_id"), "first_tie", "file").rowsBetween(Window.unboundedPreceding, -1))
     todo = files.select("file", F.coalesce(before, F.lit(0)).alias("start"))
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, files.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

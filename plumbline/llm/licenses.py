@@ -61,6 +61,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     texts have the digest of the empty text, no licence and no notices; repeated rows have a row
     each.
     """
+    if id_col in ("digest", "license_id", "notices", "n_notices"):
+        raise ValueError(f"an id column called {id_col} would hide a column of the result")
     spark = docs.sparkSession
     table = digests(known) if known is not None else known_licenses(spark)
     of_line = F.trim(F.element_at(canonical_lines(F.col("line")), 1))

@@ -94,7 +94,7 @@ def tokenised_pieces(
     """Each document's ids and ``end_id``, cut into pieces only if they are more than ``capacity``.
 
     Columns: the id column, piece (from 0), start (the document's ids before the piece), length,
-    ids_crc32 and, with ``with_ids``, ids (little-endian unsigned 32-bit); and task and rank, which
+    ids_crc32 and, with ``with_ids``, ids (little-endian unsigned 32-bit); and _task and _rank, which
     number the pieces of each length within each task.  The first piece of a cut document holds the
     remainder, all others are full.  A null or empty text has the end id alone; a null document id
     stays null; repeated rows are packed each.
@@ -123,7 +123,7 @@ def tokenised_pieces(
                 columns = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(held, pa.binary())] if with_ids else []), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())], names=names)
 
-    fields = [(id_col, kind), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), *([("ids", "binary")] if with_ids else []), ("task", "int"), ("rank", "bigint")]
+    fields = [(id_col, kind), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), *([("ids", "binary")] if with_ids else []), ("_task", "int"), ("_rank", "bigint")]
     names = [x[0] for x in fields]
     return docs.select(id_col, text_col).mapInArrow(cut, ", ".join(f"`{n}` {t}" for n, t in fields))
 
@@ -134,15 +134,17 @@ def pack(
 ) -> DataFrame:
     """Packs whole documents into as few sequences of at most ``capacity`` ids as best fit finds.
 
-    Returns :func:`tokenised_pieces`' rows (without task and rank) with sequence_id and offset, the
+    Returns :func:`tokenised_pieces`' rows (without _task and _rank) with sequence_id and offset, the
     piece's place in its sequence; the pieces of a sequence follow each other without gaps from 0.
     An empty table gives no rows.  Which of several pieces of one length gets which place depends
-    on the order of the input's files.
+    on the order of the input's files.  The id column may have any name but those of the others.
     """
+    if id_col in ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"):
+        raise ValueError(f"an id column called {id_col} would hide a column of the result")
     pieces = written(tokenised_pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces")
-    by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    first = by_task.select("task", "length", F.coalesce(before, F.lit(0)).alias("first"))
+    by_task = pieces.groupBy("_task", "length").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    first = by_task.select("_task", "length", F.coalesce(before, F.lit(0)).alias("_first"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     places, _ = plan_places(counts, capacity)
 
@@ -156,7 +158,7 @@ def pack(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "nth"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_nth"))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for n in np.unique(length):
                 rows = np.flatnonzero(length == n)
@@ -166,11 +168,11 @@ def pack(
             keep = [batch.column(c) for c in names[:-2]]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], names=names)
 
-    out = pieces.join(first, ["task", "length"]).withColumn("nth", F.col("first") + F.col("rank")).drop("task", "rank", "first")
-    kept = [c for c in pieces.columns if c not in ("task", "rank")]
+    out = pieces.join(first, ["_task", "length"]).withColumn("_nth", F.col("_first") + F.col("_rank"))
+    kept = [c for c in pieces.columns if c not in ("_task", "_rank")]
     names = [*kept, "sequence_id", "offset"]
     kinds = dict(pieces.dtypes) | {"sequence_id": "bigint", "offset": "bigint"}
-    return out.select(*kept, "nth").mapInArrow(place, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return out.select(*kept, "_nth").mapInArrow(place, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

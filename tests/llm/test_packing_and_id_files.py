@@ -147,3 +147,14 @@ def test_one_row_a_third_of_all_goes_to_many_files(spark, tmp_path):
     assert [r["doc_id"] for r in back] == sorted([*range(200), *[77] * 100])
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(back, back[1:]))  # noqa: B905
     assert len({r["ids_crc32"] for r in back if r["doc_id"] == 77}) == 1
+
+
+def test_id_columns_with_awkward_names(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (None, None)], "task bigint, text string")
+    for name in ("task", "rank", "first", "nth", "text_", "_id"):
+        rows = packing.pack(docs.withColumnRenamed("task", name), BYTE, id_col=name).collect()
+        assert sorted(str(r[name]) for r in rows) == ["1", "2", "None"]
+    with pytest.raises(ValueError, match="hide"):
+        packing.pack(docs.withColumnRenamed("task", "length"), BYTE, id_col="length")
+    with pytest.raises(ValueError, match="integer"):
+        idfiles.write_ids(docs.selectExpr("CAST(task AS string) AS doc_id", "text"), "/tmp/none", WORD)

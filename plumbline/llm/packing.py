@@ -24,6 +24,8 @@ from plumbline.llm.shared import bounded_batches, text_slices, written
 from plumbline.llm.tokens import encoder
 
 CAPACITY = 1024
+#: Rows of (task, length, first rank) up to which they are broadcast.
+MOST_BROADCAST = 1 << 20
 
 
 def plan_places(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -142,11 +144,13 @@ def pack(
     if id_col in ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"):
         raise ValueError(f"an id column called {id_col} would hide a column of the result")
     pieces = written(tokenised_pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces")
-    by_task = pieces.groupBy("_task", "length").agg(F.count("*").alias("n"))
+    by_task = written(pieces.groupBy("_task", "length").agg(F.count("*").alias("n")), "lengths")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
     first = by_task.select("_task", "length", F.coalesce(before, F.lit(0)).alias("_first"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     places, _ = plan_places(counts, capacity)
+    if by_task.count() <= MOST_BROADCAST:  # else the pieces are moved to them
+        first = F.broadcast(first)
 
     runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     of = defaultdict(list)

@@ -7,6 +7,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.shared import discard, written
+
 FOLDS = 4
 HELD_OUT = 2
 #: Labels that a model can be fitted for; more are refused, never left out.
@@ -58,6 +60,7 @@ def labelled_sample(
     near = own.select("_id", "_label", draw).join(share, "_label").where("_draw < _share")
     first = near.withColumn("_k", F.row_number().over(Window.partitionBy("_label").orderBy("_draw", "_id"))).where(F.col("_k") <= rows)
     held = texts.join(F.broadcast(first), "_id").groupBy("_label", "_k").agg(F.min("_text").alias("_text"))  # the broadcast has labels x rows at most
+    held = written(held, "sample")  # labels x rows at most
     sizes: dict[object, list[tuple[int, int]]] = defaultdict(list)
     for r in held.select("_label", "_k", F.octet_length("_text").alias("n")).orderBy("_label", "_k").collect():
         sizes[r["_label"]].append((r["_k"], r["n"]))
@@ -66,4 +69,5 @@ def labelled_sample(
     sample: dict[object, list[str]] = defaultdict(list)
     for r in held.join(chosen, ["_label", "_k"]).orderBy("_label", "_k").toLocalIterator():
         sample[r["_label"]].append(r["_text"])
+    discard(held)
     return counts, dict(sample)

@@ -1,9 +1,13 @@
+from pathlib import Path
+
 import pytest
 from plain_neardup import brute_force
 from test_packing_and_id_files import check_pieces
 from test_spans import plain_hits, plain_pii
 
 import corpus_pipeline
+from plumbline.llm import packing
+from plumbline.llm.shared import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +71,10 @@ def test_stages_bear_odd_rows(spark, odd_docs, empty_docs, kind):
             assert out.columns == docs.columns
         n = out.count()
         assert n == 0 if kind == "empty" else n > 0 or name == "language ID"  # nothing there to learn a language from
+
+
+def test_the_output_holds_the_sequences(spark):
+    rows = packing.sequences(corpus_pipeline.run(spark, SF)).collect()
+    assert rows and all(len(r["ids"]) == 4 * r["n_ids"] <= 4 * packing.CAPACITY for r in rows)
+    left = [p.name for p in Path(shared_folder(spark).removeprefix("file:")).iterdir() if p.name.startswith(("scratch", "stage-language"))]
+    assert left == []

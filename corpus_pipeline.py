@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, langid, neardup, packing, pii
-from plumbline.llm.shared import written
+from plumbline.llm.shared import discard, scratch, written
 from plumbline.llm.tokens import default_vocabulary
 
 #: A document goes if the likeliest language has a calibrated probability below this.
@@ -44,8 +44,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 1024 tokens."""
-    return packing.pack(docs, default_vocabulary("byte_bpe_50k.json"))
+    """The pieces of all documents with their token ids and their places in sequences of 1024 tokens;
+    ``packing.sequences`` joins them."""
+    return packing.pack(docs, default_vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
@@ -61,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.  A stage's table, and what it made on the way, go as soon as the
+    next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower(), keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

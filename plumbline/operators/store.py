@@ -3,11 +3,17 @@
 An append is one write of a new segment; a delete is one write of ids (a tombstone), so neither
 rewrites what is there.  A vector of a deleted row is still there, and still takes places in a
 search of :meth:`Index.vectors`, until :meth:`Index.compact` makes new tables without it.
+
+Which segments count, and the greatest id ever given, is said by the newest manifest, a small file
+that is never changed.  A change becomes visible in one step, by the next manifest's appearing; a
+writer that finds it taken by another is refused and has changed nothing.  What no manifest names
+any more stays readable until :meth:`Index.vacuum`.
 """
 
 from __future__ import annotations
 
-import time
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +29,7 @@ CHUNKS = (
     "function_name string, file_path string, depends_on_chunks array<int>, depended_on_by_chunks array<int>, normalized_code string, "
     "code_hash string, dependency_links array<int>, created_at timestamp, embedding array<float>"
 )
+KINDS = ("methods", "methods_deleted", "chunks", "chunks_deleted")
 #: What a column is where an older segment lacks it.
 DEFAULTS = {"ast_fingerprint": F.array, "depends_on_chunks": F.array, "depended_on_by_chunks": F.array, "dependency_links": F.array, "dependencies": F.array, "statement_indices": F.array}
 
@@ -32,21 +39,46 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.mkdirs(path)
+        self.fs = self._hadoop(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self._hadoop(f"{self.folder}/manifests"))
 
     # --- tables
 
     def _path(self, kind: str) -> str:
         return f"{self.folder}/{kind}"
 
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _listed(self, folder: str) -> list[str]:
+        path = self._hadoop(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
+
+    def _state(self) -> tuple[int, dict]:
+        """The newest manifest's number and contents; without one, the segments that are there."""
+        numbers = [n for n in self._listed(f"{self.folder}/manifests") if n.endswith(".json")]
+        if numbers:
+            stream = self.fs.open(self._hadoop(f"{self.folder}/manifests/{numbers[-1]}"))
+            try:
+                return int(numbers[-1][:-5]), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        done = {k: [n for n in self._listed(self._path(k)) if self.fs.exists(self._hadoop(f"{self._path(k)}/{n}/_SUCCESS"))] for k in KINDS}
+        return 0, {"segments": done, "top": {}}
+
+    def _commit(self, number: int, state: dict) -> None:
+        """Makes a state that was derived from manifest ``number`` the newest one."""
+        state["writer"] = uuid.uuid4().hex
+        draft, path = (f"{self.folder}/manifests/{name}" for name in (f"draft-{state['writer']}", f"{number + 1:012d}.json"))
+        out = self.fs.create(self._hadoop(draft), False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self.fs.exists(self._hadoop(path)) or not self.fs.rename(self._hadoop(draft), self._hadoop(path)) or self._state()[1].get("writer") != state["writer"]:
+            self.fs.delete(self._hadoop(draft), False)
+            raise RuntimeError(f"another writer has changed the index {self.folder}; nothing was changed, try again")
+
     def _segments(self, kind: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(kind))
-        if not self.fs.exists(path):
-            return []
-        done = [str(s.getPath()) for s in self.fs.listStatus(path) if s.isDirectory()]
-        return sorted(p for p in done if self.fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS")))
+        return [f"{self._path(kind)}/{n}" for n in self._state()[1]["segments"].get(kind, [])]
 
     def _schema(self, kind: str) -> T.StructType:
         return T._parse_datatype_string({"methods": METHODS, "chunks": CHUNKS}.get(kind, "id bigint"))
@@ -96,14 +128,23 @@ class Index:
 
     # --- changes
 
-    def _write(self, kind: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self._path(kind)}/segment-{time.time_ns():020d}")
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self._path(kind)}/{name}")
+        return name
+
+    def _add(self, kind: str, rows: DataFrame, number: int, state: dict) -> None:
+        state["segments"][kind] = [*state["segments"].get(kind, []), self._write(kind, rows)]
+        self._commit(number, state)
 
     def _append(self, kind: str, rows: DataFrame, order: list[str]) -> int:
         """Adds rows with new ids in the given order; an id is never used again.  Returns how many."""
-        top = self._all(kind).agg(F.max("id")).head()[0] or 0
+        number, state = self._state()
+        top = state["top"].get(kind)
+        if top is None:  # tables from before there were manifests
+            top = self._all(kind).agg(F.max("id")).head()[0] or 0
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        draft = f"{self.folder}/drafts/{kind}-{time.time_ns()}"
+        draft = f"{self.folder}/drafts/{kind}-{uuid.uuid4().hex}"
         spread = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
         spread.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(draft)
         held = self.spark.read.parquet(draft)
@@ -111,10 +152,13 @@ class Index:
         first = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_first"))  # a row a task
         named = held.join(F.broadcast(first), "_part").withColumn("id", top + 1 + F.col("_first") + F.col("_nth"))
         total = counts.agg(F.sum("n")).head()[0] or 0
-        if total:
-            schema = self._schema(kind)
-            self._write(kind, named.select(*((F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)))
-        self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(draft), True)
+        try:
+            if total:
+                state["top"][kind] = top + total
+                own = named.select(*((F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(kind)))
+                self._add(kind, own, number, state)
+        finally:
+            self.fs.delete(self._hadoop(draft), True)
         return total
 
     def add_methods(self, rows: DataFrame) -> int:
@@ -129,10 +173,11 @@ class Index:
         return self._append("chunks", stamped, ["function_id", "chunk_index"])
 
     def _delete(self, kind: str, ids: DataFrame) -> int:
+        number, state = self._state()
         gone = ids.select("id").distinct()
         n = gone.count()
         if n:
-            self._write(f"{kind}_deleted", gone)
+            self._add(f"{kind}_deleted", gone, number, state)
         return n
 
     def delete_method(self, id_: int) -> bool:
@@ -154,10 +199,24 @@ class Index:
         return self._delete("methods", gone)
 
     def compact(self) -> None:
-        """Writes both tables anew without deleted rows and drops the old segments."""
+        """Writes the tables anew without deleted rows; readers see the old segments or the new ones."""
+        number, state = self._state()
         for kind in ("methods", "chunks"):
-            old = self._segments(kind) + self._segments(f"{kind}_deleted")
-            if self._segments(f"{kind}_deleted"):
-                self._write(kind, self._live(kind))
-                for p in old:
-                    self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p), True)
+            if state["segments"].get(f"{kind}_deleted"):
+                if state["top"].get(kind) is None:
+                    state["top"][kind] = self._all(kind).agg(F.max("id")).head()[0] or 0
+                state["segments"] |= {kind: [self._write(kind, self._live(kind))], f"{kind}_deleted": []}
+        self._commit(number, state)
+
+    def vacuum(self) -> None:
+        """Deletes segments that the newest manifest does not name, and older manifests: for when no
+        reader or writer of an earlier state is left."""
+        number, state = self._state()
+        if not number:
+            return
+        for kind in KINDS:
+            for name in set(self._listed(self._path(kind))) - set(state["segments"].get(kind, [])):
+                self.fs.delete(self._hadoop(f"{self._path(kind)}/{name}"), True)
+        for name in self._listed(f"{self.folder}/manifests"):
+            if name != f"{number:012d}.json":
+                self.fs.delete(self._hadoop(f"{self.folder}/manifests/{name}"), True)

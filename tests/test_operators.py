@@ -159,3 +159,45 @@ def test_older_segments_get_defaults(spark, tmp_path):
     old.write.parquet(str(tmp_path / "ix/chunks/segment-0"))
     row = Index(spark, str(tmp_path / "ix")).chunk(1).head()
     assert row["depends_on_chunks"] == [] and row["normalized_code"] is None and row["function_id"] == 2
+
+
+ONE_CHUNK = (
+    "function_id long, chunk_index int, statement_start int, statement_end int, statement_indices array<int>, function_name string, file_path string, "
+    "depends_on_chunks array<int>, depended_on_by_chunks array<int>, normalized_code string, embedding array<float>"
+)
+
+
+def test_ids_are_never_used_again(spark, tmp_path):
+    """A chunk of a deleted method does not become that of a new one, compacted or not."""
+    ix = Index(spark, str(tmp_path / "ix"))
+    one = lambda name: spark.createDataFrame([method(0, f"{name}.py", name, "x", 5, "c")], SCHEMA).drop("id")
+    for name in "abc":
+        ix.add_methods(one(name))
+    ix.add_chunks(spark.createDataFrame([(3, 0, 0, 2, [0, 1, 2], "c", "c.py", [], [], "t", [1.0, 0.0])], ONE_CHUNK))
+    assert ix.delete_method(3)
+    ix.compact()
+    ix.add_methods(one("new"))
+    assert {r["id"]: r["name"] for r in ix.methods().collect()} == {1: "a", 2: "b", 4: "new"} and ix.by_function(4).count() == 0
+    assert ix.delete_method(4) and ix.delete_method(2) and ix.delete_method(1)
+    ix.compact()
+    ix.vacuum()
+    assert ix.methods().count() == 0 == ix.vectors().count()
+    again = Index(spark, str(tmp_path / "ix"))
+    assert again.add_methods(one("last")) == 1 and again.methods().head()["id"] == 5
+    assert again.add_chunks(spark.createDataFrame([(5, 0, 0, 2, [0], "c", "c.py", [], [], "t", [1.0, 0.0])], ONE_CHUNK)) == 1 and again.by_function(5).head()["id"] == 2
+
+
+def test_readers_and_writers_beside_a_compaction(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"))
+    rows = spark.createDataFrame([method(0, "a.py", f"f{i}", "x", 5, "c") for i in range(6)], SCHEMA).drop("id")
+    ix.add_methods(rows)
+    ix.delete_method(2)
+    before = ix.methods()  # planned before, run after
+    other, late = Index(spark, str(tmp_path / "ix")), ix._state()
+    ix.compact()
+    assert sorted(r["id"] for r in before.collect()) == [1, 3, 4, 5, 6] == sorted(r["id"] for r in other.methods().collect())
+    with pytest.raises(RuntimeError, match="another writer"):  # what was derived from an older state
+        ix._add("methods", rows.withColumn("id", F.lit(1)), *late)
+    assert other.methods().count() == 5 and other.add_methods(rows.limit(1)) == 1 and ix.methods().count() == 6
+    ix.vacuum()
+    assert sorted(r["id"] for r in other.methods().collect()) == [1, 3, 4, 5, 6, 7]

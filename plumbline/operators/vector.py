@@ -1,7 +1,9 @@
 """Exact nearest neighbours by inner product.
 
-The queries are taken in blocks of bounded size, each broadcast once; every task keeps the best of
-its own rows for each query of the block, and only those are shuffled.
+Few queries are broadcast, and every task keeps the best of its own rows for each of them.  More are
+dealt into blocks, and so is the base: a block of one meets a block of the other through the
+shuffle, as one matrix product, and only its best rows go on.  Either way it is one plan, and what a
+task holds does not grow with the input.
 """
 
 from __future__ import annotations
@@ -13,67 +15,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block: with 384 numbers each, 12 MB.
+#: Queries up to which they are broadcast: with 384 numbers each, 12 MB.
 BLOCK_ROWS = 4096
-STEP_ROWS = 1024
+#: A shuffled block of queries has so many times more on average.
+LARGER = 4
+#: Rows of the base, and queries, that are multiplied at once.
+STEP_ROWS, STEP_QUERIES = 1024, 2048
+FOUND = "query_id bigint, base_id bigint, score double"
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, width or 0))
+def _rows(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors as a matrix, without vectors that have a null or no finite element."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    widths = np.diff(vectors.offsets.to_numpy())
+    if len(widths) and (widths != widths[0]).any():
+        raise ValueError(f"vectors of unlike length: {widths.min()} and {widths.max()}")
+    x = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    able = np.isfinite(x).all(1)
+    return ids.to_numpy()[able], x[able]
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of scores the k highest, equal ones by the lower id."""
-    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(np.broadcast_to(ids, score.shape), order, 1)
+    n, columns = score.shape
+    k, ids = min(k, columns), np.broadcast_to(ids, score.shape)
+    if not k or not n:
+        return score[:, :0], ids[:, :0]
+    least = np.partition(score, columns - k, axis=1)[:, columns - k]
+    row, column = np.nonzero(score >= least[:, None])  # k a row, more if the last are equal
+    s, i = score[row, column], ids[row, column]
+    order = np.lexsort((i, -s, row))
+    at = order[np.searchsorted(row, np.arange(n))[:, None] + np.arange(k)]
+    return s[at], i[at]
+
+
+class _Search:
+    """The best rows so far for some queries."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.score, self.found = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(ids) or not len(self.ids):
+            return
+        if vectors.shape[1] != self.vectors.shape[1]:
+            raise ValueError(f"vectors of unlike length: {self.vectors.shape[1]} and {vectors.shape[1]}")
+        parts = []
+        for a in range(0, len(self.ids), STEP_QUERIES):
+            own = slice(a, a + STEP_QUERIES)
+            score, found = _best(self.vectors[own] @ vectors.T, ids, self.k)
+            parts.append(_best(np.concatenate([self.score[own], score], 1), np.concatenate([self.found[own], found], 1), self.k))
+        self.score, self.found = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        n = self.score.shape[1]
+        for a in range(0, len(self.ids) if n else 0, STEP_QUERIES):
+            own = slice(a, a + STEP_QUERIES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids[own], n)), pa.array(self.found[own].ravel()), pa.array(self.score[own].ravel())], names=["query_id", "base_id", "score"])
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id", base_id: str = "id", vector: str = "embedding") -> DataFrame:
     """(query_id, base_id, score, rank): the k rows of ``base`` with the highest inner product for
     each query, ranked from 1; equal scores by the lower id.
 
-    Rows whose id or vector is null take no part.  A query that is a row of ``base`` finds itself.
+    Rows whose id or vector is null, or whose vector has a null or no finite element, take no part.
+    Vectors of unlike length end the query with a ValueError.  A query that is a row of ``base``
+    finds itself.
     """
-    kept = queries.where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(query_id).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    rows = base.where(F.col(base_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(base_id).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    blocks = max(1, -(-kept.count() // BLOCK_ROWS))
-    parts = []
-    for b in range(blocks):
-        own = kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        table = own.toArrow()
-        parts.append(rows.mapInArrow(_scan(queries.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), _matrix(table["v"].combine_chunks()))), k), "query_id bigint, base_id bigint, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    def plain(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(F.col(name).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    asked, rows = plain(queries, query_id), plain(base, base_id)
+    n = asked.count()
+    found = rows.mapInArrow(_against(asked, k), FOUND) if n <= BLOCK_ROWS else _by_blocks(asked, rows, k, n)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "base_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _scan(shared, k: int):
-    names = ["query_id", "base_id", "score"]
+def _against(asked: DataFrame, k: int):
+    table = asked.toArrow().combine_chunks()  # BLOCK_ROWS at most
+    held = (np.zeros(0, np.int64), np.zeros((0, 0))) if not table.num_rows else _rows(table["id"].combine_chunks(), table["v"].combine_chunks())
+    shared = asked.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        if not len(ids) or k < 1:
-            return
-        score, found = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+        search = _Search(*shared.value, k)
         for batch in batches:
             for a in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(a, STEP_ROWS)
-                new = q @ _matrix(part.column(1)).T
-                if not np.isfinite(new).all():
-                    new = np.nan_to_num(new, nan=-np.inf)
-                s, i = _best(new, part.column(0).to_numpy(), k)
-                both, at = np.concatenate([score, s], 1), np.concatenate([found, i], 1)
-                order = np.lexsort((at, -both), axis=1)[:, :k]
-                score, found = np.take_along_axis(both, order, 1), np.take_along_axis(at, order, 1)
-        if score.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(found.ravel()), pa.array(score.ravel())], names=names)
+                search.add(*_rows(*batch.slice(a, STEP_ROWS).columns))
+        yield from search.result()
 
     return scan
 
 
+def _by_blocks(asked: DataFrame, rows: DataFrame, k: int, n: int) -> DataFrame:
+    """Each block of queries with each block of the base; the base is cut only as far as tasks need
+    work, since each of its blocks costs a copy of the queries."""
+    own = -(-n // (LARGER * BLOCK_ROWS))
+    other = max(1, -(-int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")) // own))
+    cell = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.select(cell(own).alias("q"), every(other).alias("b"), F.lit(0).alias("side"), "id", "v")
+    right = rows.select(every(own).alias("q"), cell(other).alias("b"), F.lit(1).alias("side"), "id", "v")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, search = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if search is not None:
+                yield from search.result()
+
+        for batch in batches:
+            q, b, side = (batch.column(c).to_numpy() for c in range(3))
+            edges = np.flatnonzero(np.diff(q) | np.diff(b) | np.diff(side)) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                if (q[start], b[start]) != at:
+                    yield from done()
+                    at, parts, search = (q[start], b[start]), [], None
+                if side[start] == 0:
+                    parts.append(_rows(*batch.slice(start, stop - start).columns[3:]))
+                    continue
+                if search is None:
+                    if len({x.shape[1] for _, x in parts if len(x)}) > 1:
+                        raise ValueError("vectors of unlike length")
+                    parts = [p for p in parts if len(p[0])]
+                    search = _Search(*(np.concatenate(x) for x in zip(*parts, strict=True)), k) if parts else _Search(np.zeros(0, np.int64), np.zeros((0, 0)), k)
+                for a in range(start, stop, STEP_ROWS):
+                    search.add(*_rows(*batch.slice(a, min(STEP_ROWS, stop - a)).columns[3:]))
+        yield from done()
+
+    met = left.unionByName(right).repartition(own * other, "q", "b").sortWithinPartitions("q", "b", "side")
+    return met.select("q", "b", "side", "id", "v").mapInArrow(scan, FOUND)
+
+
 def post_filter(found: DataFrame, allowed: DataFrame, allowed_id: str = "id") -> DataFrame:
     """Ranked first, filtered after: rows that are not allowed have taken their places, so there may
     be fewer than k.  This is how the index search treats allowed and deleted rows."""

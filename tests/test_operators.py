@@ -201,3 +201,30 @@ def test_readers_and_writers_beside_a_compaction(spark, tmp_path):
     assert other.methods().count() == 5 and other.add_methods(rows.limit(1)) == 1 and ix.methods().count() == 6
     ix.vacuum()
     assert sorted(r["id"] for r in other.methods().collect()) == [1, 3, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("block", [4096, 1])
+def test_top_k_defines_odd_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(vector, "BLOCK_ROWS", block)
+    rows = [(i, [float(i), 1.0]) for i in range(9)] + [(20, [None, 1.0]), (21, [float("nan"), 1.0]), (22, [float("inf"), 1.0]), (23, None), (None, [9.0, 9.0])]
+    base = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = {(r["query_id"], r["base_id"]) for r in vector.top_k(base, base, 2).collect()}
+    assert got == {(q, b) for q in range(1, 9) for b in (8, 7)} | {(0, 0), (0, 1)}
+    assert vector.top_k(base, base, 0).count() == 0 and vector.top_k(base, base.limit(0), 3).count() == 0
+    mixed = base.union(spark.createDataFrame([(30, [1.0, 2.0, 3.0])], base.schema))
+    with pytest.raises(Exception, match="vectors of unlike length"):
+        vector.top_k(mixed, mixed, 2).collect()
+
+
+def test_many_queries_are_one_plan(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 10)
+    rng = np.random.default_rng(8)
+    base = spark.createDataFrame([(i, rng.normal(size=16).tolist()) for i in range(2000)], "id long, embedding array<double>").repartition(3)
+    found = vector.top_k(base, base, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2 and "BroadcastExchange" not in plan and "Cartesian" not in plan
+    x = {r["id"]: np.array(r["embedding"]) for r in base.collect()}
+    got = {(r["query_id"], r["rank"]): r["base_id"] for r in found.collect()}
+    m = np.array([x[i] for i in range(2000)])
+    order = np.argsort(-(m @ m.T), axis=1)[:, :3]
+    assert got == {(i, k + 1): order[i, k] for i in range(2000) for k in range(3)}

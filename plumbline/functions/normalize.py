@@ -8,6 +8,8 @@ three placeholders, a default value with ``)`` ends the parameter list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 STRING, NUMBER, FUNCTION = "STR_LITERAL", "NUM_LITERAL", "FUNC_NAME"
 
 
+# The patterns below decide what the normal form is.
+
+
 def strip_comments(code: Column) -> Column:
     return F.regexp_replace(code, r"#[^\n]*", "")
 
@@ -45,17 +50,39 @@ def local_names(code: Column) -> Column:
     return F.regexp_extract_all(code, F.lit(r"(?Um)^\s+([A-Za-z_]\w*)\s*(?::[^=\n]*)?\s*=(?!=)"), 1)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _final(numbered: Column) -> Column:
+    """A map from each name to what it is called in the end."""
+    new = lambda i: F.concat(F.lit("v"), i.cast("string"))
+    again = F.filter(numbered, lambda x: x["name"].rlike("^v[0-9]+$"))
+    step = lambda nth: F.struct(new(nth).alias("name"), nth.alias("nth"))
+
+    def last(x: Column, again: Column) -> Column:
+        return F.aggregate(again, step(x["nth"]), lambda now, y: F.when((y["nth"] > now["nth"]) & (y["name"] == now["name"]), step(y["nth"])).otherwise(now))["name"]
+
+    return _let(again, lambda again: F.map_from_arrays(numbered["name"], F.transform(numbered, lambda x: last(x, again))))
+
+
 def rename_all(code: Column, names: Column) -> Column:
     """Renames the i-th distinct name to ``v{i}``, one name after the other: a name that equals an
-    earlier new one is renamed again."""
-    names = F.array_distinct(names)
-    numbered = F.transform(names, lambda n, i: F.struct(n.alias("name"), (i + 1).cast("string").alias("nth")))
-    return F.aggregate(numbered, code, lambda text, x: F.regexp_replace(text, F.concat(F.lit(r"(?U)\b"), x["name"], F.lit(r"\b")), F.concat(F.lit("v"), x["nth"])))
+    earlier new one is renamed again.
+
+    What a name is in the end is worked out on the names; the text is cut into words and what lies
+    between, and each word is looked up once.
+    """
+    def looked_up(numbered: Column) -> Column:
+        return _let(_final(numbered), lambda to: F.array_join(F.transform(F.regexp_extract_all(code, F.lit(r"(?U)\w+|\W+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at(to, w), w)), ""))
+
+    numbered = F.transform(F.array_distinct(names), lambda n, i: F.struct(n.alias("name"), (i + 1).alias("nth")))
+    return _let(numbered, lambda numbered: F.when(F.size(numbered) == 0, code).otherwise(looked_up(numbered)))
 
 
 def rename_identifiers(code: Column) -> Column:
-    code = rename_function(code)
-    return rename_all(code, F.concat(parameter_names(code), local_names(code)))
+    return _let(rename_function(code), lambda code: rename_all(code, F.concat(parameter_names(code), local_names(code))))
 
 
 def collapse_space(code: Column) -> Column:

@@ -95,10 +95,18 @@ def method_score(exact: Column, embedding: Column, ast: Column, structural: Colu
     return w.embedding * F.when(exact, one).otherwise(embedding) + w.ast * F.when(exact, one).otherwise(ast) + w.structural * structural
 
 
-def could_reach(embedding: Column, structural: Column, w: Weights = Weights()) -> Column:
-    """Whether a pair can reach the threshold with a perfect syntax score: if not, the costly
-    sequence comparison is not needed."""
-    return w.embedding * embedding + w.ast + w.structural * structural >= w.threshold - 1e-9
+def longest_ratio(q_prints: Column, c_prints: Column, q_text: Column, c_text: Column) -> Column:
+    """What the sequence ratio can be at most: that of the shorter sequence inside the longer one."""
+    q, c = (F.greatest(F.coalesce(F.size(p), F.lit(0)), F.lit(0)) for p in (q_prints, c_prints))
+    s, t = (F.length(F.coalesce(x, F.lit(""))) for x in (q_text, c_text))
+    bound = lambda a, b: F.coalesce(2 * F.least(a, b) / F.nullif(a + b, F.lit(0)), F.lit(1.0))
+    return F.when((q > 0) & (c > 0), bound(q, c)).otherwise(bound(s, t))
+
+
+def could_reach(embedding: Column, structural: Column, ast: Column, w: Weights = Weights()) -> Column:
+    """Whether a pair can reach the threshold with a syntax score of at most ``ast``: if not, the
+    costly sequence comparison is not needed."""
+    return w.embedding * embedding + w.ast * ast + w.structural * structural >= w.threshold - 1e-9
 
 
 def _quoted(text: Column) -> Column:

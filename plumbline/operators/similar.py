@@ -67,7 +67,7 @@ def scored(pairs: DataFrame, weights: score.Weights = score.Weights()) -> DataFr
     """Pairs that pass both filters and reach the threshold or have equal code, with their scores.
 
     The sequence comparison is the only Python here: it runs for pairs alone that are not equal and
-    could still reach the threshold with a perfect result.
+    could still reach the threshold with the best result that their sequences' lengths allow.
     """
     q, c = _sides()
     args = [F.col(p + x) for x in ("parameters", "return_type", "dependencies") for p in ("q_", "c_")]
@@ -75,9 +75,10 @@ def scored(pairs: DataFrame, weights: score.Weights = score.Weights()) -> DataFr
         "exact_match": F.col("q_code_hash") == F.col("c_code_hash"),
         "structural": score.structural_score(*args),
     })
+    sequences = [F.col(p + x) for x in ("ast_fingerprint", "normalized_code") for p in ("q_", "c_")]
     equal = able.where("exact_match").withColumn("ast", F.lit(1.0))
-    rest = able.where(~F.col("exact_match") & score.could_reach(F.col("score"), F.col("structural"), weights))
-    rest = rest.withColumn("ast", sequence_ratio("q_ast_fingerprint", "c_ast_fingerprint", "q_normalized_code", "c_normalized_code"))
+    rest = able.where(~F.col("exact_match") & score.could_reach(F.col("score"), F.col("structural"), score.longest_ratio(*sequences), weights))
+    rest = rest.withColumn("ast", sequence_ratio(*sequences))
     both = equal.unionByName(rest)
     final = score.method_score(F.col("exact_match"), F.col("score"), F.col("ast"), F.col("structural"), weights)
     found = both.withColumn("final", final).where((F.col("final") >= weights.threshold) | F.col("exact_match"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import normalize, score, syntax
-from plumbline.functions.udfs import encode_text, encoder
+from plumbline.functions.udfs import encode_texts, encoder
 from plumbline.operators import graph, similar, vector
 from plumbline.operators.store import Index
 from plumbline.sources import repository
@@ -24,7 +24,9 @@ DEFAULT_INDEX = str(Path.home() / ".plumbline" / "index")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, encode=encode_text, weights: score.Weights = score.Weights()):
+    """An encoder (a function from a list of texts to unit vectors) and weights."""
+
+    def __init__(self, spark: SparkSession, encode=encode_texts, weights: score.Weights = score.Weights()):
         self.spark, self.weights = spark, weights
         self.encode = encoder(encode)
 

@@ -94,52 +94,61 @@ def json_facade(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- normalization
 
-_ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g')"
+# What the engine's dialect has as word characters and white space, in the words of the other one.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+_S = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _STRINGS = r"""regexp_replace(regexp_replace(regexp_replace({}, '#[^\n]*', '', 'g'), '"(?:[^"\\]|\\[^\n])*"', 'STR_LITERAL', 'g'), '''(?:[^''\\]|\\[^\n])*''', 'STR_LITERAL', 'g')"""
-_NUMBERS = r"regexp_replace(regexp_replace({}, '\b\d+\.\d+\b', 'NUM_LITERAL', 'g'), '\b\d+\b', 'NUM_LITERAL', 'g')"
-_SPACE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-_NORMAL = _SPACE.format(_NUMBERS.format(_STRINGS.format(_ASCII)))
 
 
-def _ascii(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with other than ASCII characters blanked, on which all regex dialects agree."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", " ")
-    return tables.table(spark, sf, "documents").select("doc_id", "source", text.alias("code"))
+def _normal_sql(text: str) -> str:
+    numbers = _STRINGS.replace("{}", text, 1)
+    marked = f"regexp_replace({numbers}, '([{_W}]+)', chr(1) || '\\1' || chr(2), 'g')"
+    digits = r"\x01\p{Nd}+\x02"
+    placed = f"regexp_replace(regexp_replace({marked}, '{digits}\\.{digits}', 'NUM_LITERAL', 'g'), '{digits}', 'NUM_LITERAL', 'g')"
+    out = f"replace(replace({placed}, chr(1), ''), chr(2), '')"
+    for pattern, to in ((r"\r\n?", "chr(10)"), (r"[ \t]+", "' '"), (rf"\n[{_S}]*\n+", "chr(10)"), (rf"^[{_S}]+|[{_S}]+$", "''")):
+        out = f"regexp_replace({out}, '{pattern}', {to}, 'g')"
+    return out
+
+
+_NORMAL = f"normal AS (SELECT doc_id, {_normal_sql("coalesce(text, '')")} AS t FROM documents)"
+
+
+def _code_of(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("code"))
 
 
 def _plain_normal(code: Column) -> Column:
     return normalize.collapse_space(normalize.replace_numbers(normalize.replace_strings(normalize.strip_comments(code))))
 
 
-@query(f"SELECT doc_id, length({_NORMAL}) AS n, sha256({_NORMAL}) AS hash FROM documents")
+@query(f"WITH {_NORMAL} SELECT doc_id, length(t) AS n, sha256(t) AS hash FROM normal")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    form = _ascii(spark, sf).select("doc_id", _plain_normal(F.col("code")).alias("t"))
+    form = _code_of(spark, sf).select("doc_id", _plain_normal(F.col("code")).alias("t"))
     return form.select("doc_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("hash"))
 
 
-@query(f"SELECT min(doc_id) AS first_id, count(*) AS copies, hash FROM (SELECT doc_id, sha256({_NORMAL}) AS hash FROM documents) GROUP BY hash HAVING count(*) > 1")
+@query(f"WITH {_NORMAL} SELECT min(doc_id) AS first_id, count(*) AS copies, hash FROM (SELECT doc_id, sha256(t) AS hash FROM normal) GROUP BY hash HAVING count(*) > 1")
 def exact_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_text(spark, sf).groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-_NAMES = r"list_filter(list_slice(string_split(code, ' '), 1, 8), lambda w: regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*'))"
+_NAMES = r"list_sort(list_distinct(list_filter(string_split(code, ' '), lambda w: regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*') AND NOT regexp_full_match(w, 'v[0-9]+'))))"
 
 
-@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, {_ASCII} AS code FROM documents),
-n AS (SELECT doc_id, code, list_sort(list_distinct({_NAMES})) AS names FROM d),
-step AS (SELECT doc_id, code, names, 0 AS i FROM n
-  UNION ALL SELECT doc_id, regexp_replace(code, '\b' || names[i + 1] || '\b', 'v' || (i + 1), 'g'), names, i + 1 FROM step WHERE i < len(names))
-SELECT doc_id, sha256(code) AS hash FROM step WHERE i = len(names)""")
+@query(f"""WITH n AS (SELECT doc_id, code, {_NAMES} AS names FROM (SELECT doc_id, coalesce(text, '') AS code FROM documents))
+SELECT doc_id, sha256(array_to_string(list_transform(regexp_extract_all(code, '[{_W}]+|[^{_W}]+'), lambda w: CASE WHEN list_contains(names, w) THEN 'v' || list_position(names, w) ELSE w END), '')) AS hash FROM n""")
 def rename_fold(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.filter(F.slice(F.split("code", " "), 1, 8), lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~w.contains("\n"))
-    return _ascii(spark, sf).select("doc_id", F.sha2(normalize.rename_all(F.col("code"), F.array_sort(F.array_distinct(names))), 256).alias("hash"))
+    names = F.filter(F.split("code", " "), lambda w: w.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z") & ~w.rlike(r"^v[0-9]+\z"))
+    return _code_of(spark, sf).select("doc_id", F.sha2(normalize.rename_all(F.col("code"), F.array_sort(F.array_distinct(names))), 256).alias("hash"))
 
 
 @query()
 def full_normalization(spark: SparkSession, sf: str) -> DataFrame:
-    code = F.concat(F.lit("def f("), F.array_join(F.slice(F.split("code", r"[^A-Za-z]+"), 1, 3), ", "), F.lit("):\n    "), F.replace("code", F.lit("\n"), F.lit("\n    ")))
-    docs = tables.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("code"))
-    return docs.select("doc_id", normalize.code_hash(normalize.normalize(code)).alias("code_hash"))
+    """Each document as the body of a function whose parameters are its words."""
+    names = F.array_distinct(F.filter(F.split("code", r"[^A-Za-z]+"), lambda w: w != ""))
+    code = F.concat(F.lit("def f("), F.array_join(names, ", "), F.lit("):\n    "), F.replace("code", F.lit("\n"), F.lit("\n    ")))
+    return _code_of(spark, sf).select("doc_id", normalize.code_hash(normalize.normalize(code)).alias("code_hash"))
 
 
 # --- filters and candidate counts
@@ -384,46 +393,49 @@ def dag_check(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.select("func", graph.is_acyclic(deps).alias("dag_valid"))
 
 
-# --- chunk scores: chunks of documents that have a vector, the document's vector for each chunk
+# --- chunk scores: all chunks of documents that have a vector, the document's vector for each chunk
 
 
 def _chunk_scores(spark: SparkSession, sf: str) -> DataFrame:
-    first = _chunks(spark, sf).where("chunk_index = 0")
     vectors = _vectors(spark, sf)
-    near = first.join(vectors.select(F.col("id").alias("func")), "func", "left_semi").withColumnRenamed("func", "id")
+    near = _chunks(spark, sf).join(vectors.select(F.col("id").alias("func")), "func", "left_semi").withColumnRenamed("func", "id")
     pairs = similar.pairs_of(vector.top_k(_asked(spark, sf), vectors, 4).where("query_id <> base_id"), near, near)
     links = tuple(F.col(p + x) for x in ("depends_on_chunks", "depended_on_by_chunks") for p in ("q_", "c_"))
     structural = score.chunk_structural(F.size("q_statement_indices"), F.col("c_statement_indices"), F.col("c_statement_start"), F.col("c_statement_end"), links)
-    return pairs.withColumn("structural", structural).withColumn("combined", score.chunk_score(F.round("score", 6), F.col("structural")))
+    named = pairs.withColumns({"query_chunk": F.col("q_chunk_index").cast("bigint"), "base_chunk": F.col("c_chunk_index").cast("bigint")})
+    return named.withColumn("structural", structural).withColumn("combined", score.chunk_score(F.round("score", 6), F.col("structural")))
+
+
+_CHUNK_KEYS = ("query_id", "query_chunk", "base_id", "base_chunk")
 
 
 def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN greatest({a}, {b}) = 0 THEN 1.0::DOUBLE ELSE least({a}, {b})::DOUBLE / greatest({a}, {b}) END"
 
 
-_CHUNK_SCORES = f"""{_LINKS}, firsts AS (SELECT *, statement_end - statement_start + 1 AS m FROM noted WHERE chunk_index = 0 AND func IN (SELECT vec_id FROM embeddings)),
+_CHUNK_SCORES = f"""{_LINKS}, sized AS (SELECT *, statement_end - statement_start + 1 AS m FROM noted WHERE func IN (SELECT vec_id FROM embeddings)),
 {_TOP.format('')},
-cs AS (SELECT query_id, base_id, rank, raw, ({_ratio('q.m', 'c.m')} + {_ratio('len(q.needs)', 'len(c.needs)')} + {_ratio('len(q.feeds)', 'len(c.feeds)')}) / 3 AS structural
-  FROM ranked JOIN firsts q ON q.func = query_id JOIN firsts c ON c.func = base_id WHERE rank <= 4 AND query_id <> base_id),
+cs AS (SELECT query_id, q.chunk_index AS query_chunk, base_id, c.chunk_index AS base_chunk, rank, raw, ({_ratio('q.m', 'c.m')} + {_ratio('len(q.needs)', 'len(c.needs)')} + {_ratio('len(q.feeds)', 'len(c.feeds)')}) / 3 AS structural
+  FROM ranked JOIN sized q ON q.func = query_id JOIN sized c ON c.func = base_id WHERE rank <= 4 AND query_id <> base_id),
 cs2 AS (SELECT *, greatest(0, least(1, 0.7::DOUBLE * round(raw, 6) + 0.3::DOUBLE * structural)) AS combined FROM cs)"""
 
 
-@query(f"WITH RECURSIVE {_CHUNK_SCORES} SELECT query_id, base_id, round(structural, 4) AS structural FROM cs2")
+@query(f"WITH RECURSIVE {_CHUNK_SCORES} SELECT {', '.join(_CHUNK_KEYS)}, round(structural, 4) AS structural FROM cs2")
 def chunk_structural(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunk_scores(spark, sf).select("query_id", "base_id", F.round("structural", 4).alias("structural"))
+    return _chunk_scores(spark, sf).select(*_CHUNK_KEYS, F.round("structural", 4).alias("structural"))
 
 
-@query(f"""WITH RECURSIVE {_CHUNK_SCORES} SELECT query_id, base_id, round(combined, 4) AS score, place FROM
-(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined, 4) DESC, rank) AS place FROM cs2) WHERE place <= 3""")
+@query(f"""WITH RECURSIVE {_CHUNK_SCORES} SELECT {', '.join(_CHUNK_KEYS)}, round(combined, 4) AS score, place FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id, query_chunk ORDER BY round(combined, 4) DESC, rank, base_chunk) AS place FROM cs2) WHERE place <= 3""")
 def chunk_rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("combined", 4)), "rank"))
+    place = F.row_number().over(Window.partitionBy("query_id", "query_chunk").orderBy(F.desc(F.round("combined", 4)), "rank", "base_chunk"))
     ranked = _chunk_scores(spark, sf).withColumn("place", place).where("place <= 3")
-    return ranked.select("query_id", "base_id", F.round("combined", 4).alias("score"), F.col("place").cast("bigint").alias("place"))
+    return ranked.select(*_CHUNK_KEYS, F.round("combined", 4).alias("score"), F.col("place").cast("bigint").alias("place"))
 
 
-@query(f"""WITH RECURSIVE {_CHUNK_SCORES} SELECT query_id, base_id, CASE {' '.join(f"WHEN combined >= {least}::DOUBLE THEN '{h}'" for least, h in score.CHUNK_HINTS[:-1])} ELSE '{score.CHUNK_HINTS[-1][1]}' END AS hint FROM cs2""")
+@query(f"""WITH RECURSIVE {_CHUNK_SCORES} SELECT {', '.join(_CHUNK_KEYS)}, CASE {' '.join(f"WHEN combined >= {least}::DOUBLE THEN '{h}'" for least, h in score.CHUNK_HINTS[:-1])} ELSE '{score.CHUNK_HINTS[-1][1]}' END AS hint FROM cs2""")
 def chunk_hint(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunk_scores(spark, sf).select("query_id", "base_id", score.chunk_hint(F.col("combined")).alias("hint"))
+    return _chunk_scores(spark, sf).select(*_CHUNK_KEYS, score.chunk_hint(F.col("combined")).alias("hint"))
 
 
 # --- what SQL cannot say: rows only

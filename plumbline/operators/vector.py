@@ -21,6 +21,8 @@ BLOCK_ROWS = 4096
 LARGER = 4
 #: Rows of the base, and queries, that are multiplied at once.
 STEP_ROWS, STEP_QUERIES = 1024, 2048
+#: Digits of a score that count; what sums of another order differ by does not part equal vectors.
+DIGITS = 12
 FOUND = "query_id bigint, base_id bigint, score double"
 
 
@@ -64,7 +66,7 @@ class _Search:
         parts = []
         for a in range(0, len(self.ids), STEP_QUERIES):
             own = slice(a, a + STEP_QUERIES)
-            score, found = _best(self.vectors[own] @ vectors.T, ids, self.k)
+            score, found = _best(np.round(self.vectors[own] @ vectors.T, DIGITS), ids, self.k)
             parts.append(_best(np.concatenate([self.score[own], score], 1), np.concatenate([self.found[own], found], 1), self.k))
         self.score, self.found = (np.concatenate(x) for x in zip(*parts, strict=True))
 

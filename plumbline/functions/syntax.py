@@ -2,8 +2,8 @@
 
 Plain Python without Spark: the operators call it in Arrow batches.  Statement kinds have the names
 of the usual concrete grammar.  Choices of this engine: a fingerprint lists ``ast`` node names; code
-that does not parse as a whole is parsed block by block (column 0 to column 0), and blocks that do
-not parse are left out; a ``with`` alias and a starred target are written.
+that does not parse as a whole is parsed block by block, a block that does not parse by the blocks
+inside it, and what is left is left out; a ``with`` alias and a starred target are written.
 """
 
 from __future__ import annotations
@@ -44,25 +44,39 @@ class Source:
         return self.lines[node.lineno - 1].encode()[node.col_offset :].startswith(b"elif")
 
 
+def _tree(code: str) -> list[ast.stmt] | None:
+    try:
+        return ast.parse(code).body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
 def _parse(text: str, lines: list[str]) -> list[ast.stmt]:
-    def tree(code: str) -> list[ast.stmt] | None:
-        try:
-            return ast.parse(code).body
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return None
-
-    whole = tree(text)
-    if whole is not None:
-        return whole
-    starts = [i for i, line in enumerate(lines) if line[:1].strip() and line[0] not in ")]}#"]
+    whole = _tree(text)
+    return _salvage(lines, 0, len(lines)) if whole is None else whole
+
+
+def _salvage(lines: list[str], first: int, last: int) -> list[ast.stmt]:
+    """What parses of the blocks of some lines, each by itself, with its own lines and columns; of a
+    block that does not, the definitions among its inner blocks."""
+    indents = {i: len(lines[i]) - len(lines[i].lstrip()) for i in range(first, last) if lines[i].strip()}
+    if not indents:
+        return []
+    width = indents[min(indents)] if first else 0
+    starts = [i for i, n in indents.items() if n == width and lines[i].lstrip()[0] not in ")]}#"]
     out: list[ast.stmt] = []
-    begin = 0
-    for k, end in zip(starts, [*starts[1:], len(lines)], strict=True):
-        if lines[k].startswith("@") and end < len(lines):
+    begin = None
+    for k, end in zip(starts, [*starts[1:], last][: len(starts)], strict=True):
+        begin = k if begin is None else begin
+        if lines[k].lstrip().startswith("@") and end < last:
             continue  # goes with what it decorates
-        block = lines[begin if begin else starts[0] : end]
-        out += tree("\n" * (begin or starts[0]) + "\n".join(block)) or []
-        begin = end
+        code = "\n".join(lines[begin:end])
+        found = _tree("\n" * begin + code) if not width else _tree("\n" * (begin - 1) + "if 1:\n" + code)
+        if found is None:
+            out += [s for s in _salvage(lines, k + 1, end) if isinstance(s, _SCOPE)] if k + 1 < end else []
+        else:
+            out += found if not width else found[0].body
+        begin = None
     return out
 
 

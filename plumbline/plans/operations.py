@@ -20,6 +20,14 @@ from plumbline.sources import repository
 
 #: Functions with more statements than this are chunked.
 LARGE = 30
+# What callers are told.
+NO_FOLDER = "Not a directory: {}"
+NO_CHUNKS = "No chunks indexed. Run chunk_repository first."
+NO_CHUNK = "Chunk id {} not found"
+NO_FUNCTION = "Function {} not found in index"
+ONE_OF = "Provide either {} or {}"
+NOT_BOTH = ", not both"
+NOT_CHUNKED = "Run chunk_repository to generate chunks"
 DEFAULT_INDEX = str(Path.home() / ".plumbline" / "index")
 
 
@@ -51,13 +59,13 @@ class Engine:
         if not force:
             files = files.join(index.methods().select("file_path").distinct(), "file_path", "left_anti")
         files = files.persist()
-        functions, read = repository.functions_in_files(files)
-        kept = self._prepared(functions.where(~F.col("is_stub"))).persist()
+        functions, read, parsed = repository.functions_in_files(files)
+        kept = self._prepared(functions.where(~F.col("is_stub")))
         processed = read.count()
         if force:
             index.delete_files(read)
         n = index.add_methods(kept.drop("is_stub"))
-        for df in (kept, files):
+        for df in (parsed, files):
             df.unpersist()
         return self.spark.createDataFrame([(processed, n, index.folder)], "files_processed bigint, methods_indexed bigint, index_dir string")
 
@@ -68,7 +76,7 @@ class Engine:
         files_scanned, functions_chunked, chunks_created, skipped_files (sorted).
         """
         if not Path(root).is_dir():
-            raise NotADirectoryError(f"Not a directory: {root}")
+            raise NotADirectoryError(NO_FOLDER.format(root))
         base = str(Path(root))
         index = self.index(folder)
         own = index.methods().where((F.col("file_path") == base) | F.col("file_path").startswith(base.rstrip("/") + "/"))
@@ -154,18 +162,18 @@ class Engine:
         """The stored chunks most similar to a snippet or to a stored chunk (not itself), best
         first: chunk_id, function_name, file, similarity_score, statement_range, refactoring_hint."""
         if (code is None) == (chunk_id is None):
-            raise ValueError("Provide either code_snippet or chunk_id" + (", not both" if code is not None else ""))
+            raise ValueError(ONE_OF.format("code_snippet", "chunk_id") + NOT_BOTH * (code is not None))
         index = self.index(folder)
         if index.chunks().isEmpty():
-            raise LookupError("No chunks indexed. Run chunk_repository first.")
+            raise LookupError(NO_CHUNKS)
         if chunk_id is not None:
             own = index.chunk(chunk_id).persist()
             if own.isEmpty():
-                raise LookupError(f"Chunk id {chunk_id} not found")
+                raise LookupError(NO_CHUNK.format(chunk_id))
             query = own.select("id", "embedding", F.size("statement_indices").alias("q_count"), F.col("depends_on_chunks").alias("q_needs"), F.col("depended_on_by_chunks").alias("q_feeds"))
         else:
-            text = normalize.normalize(normalize.as_function(F.split(F.lit(code), "\r\n|\r|\n")))
-            one = self.spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), text.alias("t"), F.lit(syntax.count_statements(code)).alias("q_count"))
+            text = self.spark.range(1).select(normalize.normalize(normalize.as_function(F.split(F.lit(code), "\r\n|\r|\n")))).head()[0]
+            one = self.spark.createDataFrame([(-1, text, syntax.count_statements(code))], "id bigint, t string, q_count int")
             query = one.withColumn("embedding", self.encode("t")).drop("t")
         found = vector.top_k(query, index.vectors("chunks"), top_k + (chunk_id is not None)).where("query_id <> base_id")
         chunks = index.chunks().withColumnRenamed("id", "base_id")
@@ -184,12 +192,12 @@ class Engine:
         function_name, file, dag_valid, chunks (array of structs in order), hint (only for a function
         without chunks)."""
         if (function_id is None) == (file_path is None):
-            raise ValueError("Provide either function_id or file_path" + (", not both" if function_id is not None else ""))
+            raise ValueError(ONE_OF.format("function_id", "file_path") + NOT_BOTH * (function_id is not None))
         index = self.index(folder)
         if function_id is not None:
             methods = index.method(function_id)
             if methods.isEmpty():
-                raise LookupError(f"Function {function_id} not found in index")
+                raise LookupError(NO_FUNCTION.format(function_id))
             chunks = index.by_function(function_id)
         else:
             chunks = index.by_file(file_path, "chunks")
@@ -206,7 +214,7 @@ class Engine:
         none = F.array().cast(grouped.schema["chunks"].dataType)
         return out.select(
             "function_id", "function_name", "file", F.coalesce("dag_valid", F.lit(True)).alias("dag_valid"), F.coalesce("chunks", none).alias("chunks"),
-            F.when(F.col("chunks").isNull(), "Run chunk_repository to generate chunks").alias("hint"),
+            F.when(F.col("chunks").isNull(), NOT_CHUNKED).alias("hint"),
         ).orderBy("function_name", "function_id")
 
 

@@ -51,8 +51,9 @@ def _rows(path: str, language: str, text: str) -> list[tuple]:
 _NAMES = [c.split()[0] for c in FUNCTIONS.split(", ")]
 
 
-def functions_in_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The functions of the files that can be read, and (file_path, ok) of all files."""
+def functions_in_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The functions of the files that can be read, (file_path, ok) of these files, and the table that
+    both come from: it is persisted, so that a file is read and parsed once, until the caller ends that."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,8 +65,8 @@ def functions_in_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame([*rows, (path, language, *[None] * 9)], columns=_NAMES)  # the last says that the file was read
 
     n = max(1, -(-files.count() // FILES_AT_ONCE))
-    parsed = files.repartition(n).mapInPandas(parse, FUNCTIONS)
-    return parsed.where("name IS NOT NULL"), parsed.where("name IS NULL").select("file_path", F.lit(True).alias("ok"))
+    parsed = files.repartition(n).mapInPandas(parse, FUNCTIONS).persist()
+    return parsed.where("name IS NOT NULL"), parsed.where("name IS NULL").select("file_path", F.lit(True).alias("ok")), parsed
 
 
 def functions_in_snippet(spark: SparkSession, code: str, language: str = "python") -> DataFrame:

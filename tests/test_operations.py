@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.plans import report
+from plumbline.plans import config, report
 from plumbline.plans.operations import Engine, as_json
 from plumbline.sources import repository
 from plumbline.streaming.watch import watch
@@ -121,3 +121,15 @@ def test_stream_and_command_line(engine, repo, tmp_path, capsys):
     said = json.loads(capsys.readouterr().out)
     assert said["index"]["methods_indexed"] == 3 and said["analysis"]["total_methods"] == 3
     assert report.main([str(repo / "none")]) == 1
+
+
+def test_settings_entry(tmp_path, capsys):
+    path = tmp_path / "s.json"
+    assert config.main([str(path), "servers", "plumbline", '{"command": "x"}']) == 0
+    path.write_text(json.dumps({"é": 1, "servers": {"other": {"a": 1}}}))
+    config.upsert(path, "servers", "plumbline", {"command": "y"})
+    assert json.loads(path.read_text()) == {"é": 1, "servers": {"other": {"a": 1}, "plumbline": {"command": "y"}}}
+    for bad in ("{", "[]", '{"servers": 3}'):
+        path.write_text(bad)
+        assert config.main([str(path), "servers", "plumbline", "{}"]) == 1 and path.read_text() == bad
+    assert capsys.readouterr().err.count("error:") == 3 and [p.name for p in tmp_path.iterdir()] == ["s.json"]

@@ -135,3 +135,34 @@ def test_edges_of_small_functions():
     assert edges("def f(a):\n  x = a\n  y = x\n  x = y\n  return x") == {(0, 1), (0, 3), (1, 2), (2, 3)}
     assert edges("def f(a):\n  for i in a:\n    t = i\n  return t") == {(0, 1), (1, 2)}
     assert edges("def f(a):\n  import os\n  p = os.path\n  a, b = p\n  return b") == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_one_bad_method_costs_only_itself():
+    text = """import os
+
+class A:
+    x = 1
+
+    def good(self, a):
+        return a
+
+    def bad(self:
+        y = 2
+        def inside(q):
+            return q
+
+    @deco
+    def late(self, b):
+        return '''it
+  is''' + b
+
+def after(c):
+    return c
+
+if broken(
+    pass
+"""
+    found = syntax.functions(text)
+    assert [(f.name, f.start_line, f.end_line) for f in found] == [("good", 6, 7), ("inside", 11, 12), ("late", 15, 17), ("after", 19, 20)]
+    assert found[0].body_code == "def good(self, a):\n        return a" and found[2].parameters == ["b"]
+    assert syntax.functions("    def f(:\n") == [] == syntax.functions(")\n}\n") and syntax.functions("def g(:\n" * 500) == []

@@ -193,7 +193,7 @@ def write_ids(
         name = f"{folder}/ids-{TaskContext.get().partitionId():06d}.plb"
         try:
             for batch in batches:
-                for part in text_slices(batch, 1):
+                for part in text_slices(batch, 1, keep=vocabulary):
                     if out is None:
                         out, first = Writer(name, kind), (part.column(0)[0].as_py(), part.column(2)[0].as_py())
                     ids, at = enc.encode(part.column(1))

@@ -108,7 +108,7 @@ def tokenised_pieces(
         task, seen, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(vocabulary)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, keep=vocabulary):
                 ids, where = enc.encode(part.column(1))
                 row, piece, start, length, crc, rank, held = [], [], [], [], [], [], []
                 for i, (a, b) in enumerate(zip(where[:-1].tolist(), where[1:].tolist(), strict=True)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -99,14 +99,30 @@ def _give_back() -> None:
         _libc.malloc_trim(0)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept[T](name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, and again for later tasks of this worker that ask for the same name, until
+    a task asks for another or slices texts without naming it: a worker that goes on to another
+    operator holds nothing for the last."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def carried(docs: DataFrame, columns: list[str]) -> Column:
     """Those columns as one struct, which an operator hands through as it is, whatever their names."""
     return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, fill: bool = True) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, fill: bool = True, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows with about ``most`` bytes of text each; one long text may be more.
-    With ``fill``, nulls in the text column become empty texts."""
+    With ``fill``, nulls in the text column become empty texts.  ``keep`` names what :func:`kept` may
+    go on holding."""
+    if _kept and keep not in _kept:
+        _kept.clear()
     if not batch.num_rows:
         return
     texts = pc.fill_null(batch.column(column), "")

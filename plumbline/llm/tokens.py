@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from plumbline.llm.shared import kept
 from plumbline.llm.textbuf import Hasher, U, buffers, byte_codes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -198,10 +198,10 @@ class Encoder:
         return self._with_whole(texts, np.ones(len(texts), bool), np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """This worker's encoder of that vocabulary file; later tasks of the worker use it again."""
-    return Encoder(path)
+    """This worker's encoder of that vocabulary file; later tasks of the worker that encode by it use
+    it again, and slice texts with ``keep=path``."""
+    return kept(path, lambda: Encoder(path))
 
 
 def default_vocabulary(name: str) -> str:

@@ -8,7 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from plumbline.llm import idfiles, packing, queries
-from plumbline.llm.tokens import Encoder, default_vocabulary
+from plumbline.llm.shared import text_slices
+from plumbline.llm.tokens import Encoder, default_vocabulary, encoder
 
 BYTE, WORD = default_vocabulary("byte_bpe_50k.json"), default_vocabulary("word_bpe_49k.json")
 
@@ -158,3 +159,14 @@ def test_id_columns_with_awkward_names(spark):
         packing.pack(docs.withColumnRenamed("task", "length"), BYTE, id_col="length")
     with pytest.raises(ValueError, match="integer"):
         idfiles.write_ids(docs.selectExpr("CAST(task AS string) AS doc_id", "text"), "/tmp/none", WORD)
+
+
+def test_a_worker_holds_one_encoder_and_none_for_other_operators():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b"])], names=["text"])
+    first = encoder(BYTE)
+    list(text_slices(batch, 0, keep=BYTE))
+    assert encoder(BYTE) is first
+    list(text_slices(batch, 0))
+    assert encoder(BYTE) is not first
+    other = encoder(WORD)
+    assert encoder(BYTE) is not first and encoder(WORD) is not other

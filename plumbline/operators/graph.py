@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.syntax import COMPOUND
 
 MOST_STATEMENTS = 20
+#: What chunks are made of.
+OF_STATEMENT = ["index", "start_line", "end_line", "writes", "reads"]
 
 
 def data_edges(statements: DataFrame, func: str = "func") -> DataFrame:
@@ -19,11 +21,21 @@ def data_edges(statements: DataFrame, func: str = "func") -> DataFrame:
 
 def first_providers(statements: DataFrame, func: str = "func") -> DataFrame:
     """(func, index, provider): for each statement the least statement that writes what it reads,
-    or null; what chunking needs of the data edges, without making them."""
-    w = statements.select(func, "index", F.explode("writes").alias("name")).groupBy(func, "name").agg(F.min("index").alias("first"))
-    r = statements.select(func, "index", F.explode("reads").alias("name"))
-    least = r.join(w, [func, "name"]).where("first < index").groupBy(func, "index").agg(F.min("first").alias("provider"))
-    return statements.select(func, "index").join(least, [func, "index"], "left")
+    or null; what chunking needs of the data edges, without making them.  No join: whatever sizes the
+    optimizer expects, no table of statements is broadcast."""
+    first = F.min(F.when(F.col("writes"), F.col("index"))).over(Window.partitionBy(func, "name"))
+    named = _named(statements, func, "index").withColumn("first", first)
+    return named.groupBy(func, "index").agg(F.min(F.when(~F.col("writes") & (F.col("first") < F.col("index")), F.col("first"))).alias("provider"))
+
+
+def _named(rows: DataFrame, func: str, place: str) -> DataFrame:
+    """(func, place, name, writes): a row for each name that a place writes, and that it reads; one
+    more without a name, so that no place is lost."""
+    entry = lambda writes: lambda n: F.struct(n.alias("name"), F.lit(writes).alias("writes"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(False).alias("writes")))
+    some = lambda names: F.coalesce(names, F.array().cast("array<string>"))
+    names = F.concat(none, F.transform(some("writes"), entry(True)), F.transform(some("reads"), entry(False)))
+    return rows.select(func, place, F.explode(names).alias("_x")).select(func, place, "_x.name", "_x.writes")
 
 
 def control_edges(statements: DataFrame, func: str = "func") -> DataFrame:
@@ -77,12 +89,40 @@ def chunk_links(chunks: DataFrame, edges: DataFrame, func: str = "func") -> Data
     return links.select(func, F.col("src_chunk").alias("src"), F.col("dst_chunk").alias("dst")).distinct()
 
 
+def chunked_statements(statements: DataFrame, most: int = MOST_STATEMENTS, func: str = "func") -> DataFrame:
+    """The chunks of :func:`greedy_chunks` and what each holds: start_line and end_line (of its first
+    and last line), and the names that it writes and reads.
+
+    A function's statements meet in one task, and no table of statements is broadcast.
+    """
+    if most < 1:
+        raise ValueError("a chunk needs at least one statement")
+    own = statements.select(func, *OF_STATEMENT)
+    provided = first_providers(own.repartition(func), func).groupBy(func).agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("int").alias("index"), F.col("provider").cast("int").alias("provider")))).alias("p"))
+    whole = own.groupBy(func).agg(F.sort_array(F.collect_list(F.struct(*OF_STATEMENT))).alias("s"))
+    starts = provided.hint("merge").join(whole, func).select(func, "s", chunk_starts(F.col("p"), F.lit(most)).alias("starts"))
+    each = starts.select(func, "s", "starts", F.posexplode("starts").alias("chunk_index", "statement_start"))
+    placed = each.withColumn("statement_end", F.coalesce(F.get("starts", F.col("chunk_index") + 1), F.size("s")) - 1)
+    held = placed.withColumn("s", F.slice("s", F.col("statement_start") + 1, F.col("statement_end") - F.col("statement_start") + 1))
+    names = lambda c: F.array_distinct(F.flatten(F.transform("s", lambda x: x[c]))).alias(c)
+    return held.select(func, "chunk_index", "statement_start", "statement_end", F.array_min("s.start_line").alias("start_line"), F.array_max("s.end_line").alias("end_line"), names("writes"), names("reads"))
+
+
+def links_of_chunks(chunks: DataFrame, func: str = "func") -> DataFrame:
+    """The links of :func:`chunk_links` from what chunks write and read: chunks are runs, so a later
+    one reads after an earlier one writes, and no edge between statements is made."""
+    by = F.collect_set(F.when(F.col("writes"), F.col("chunk_index"))).over(Window.partitionBy(func, "name"))
+    named = _named(chunks, func, "chunk_index").withColumn("by", by).where(~F.col("writes"))
+    links = named.select(func, F.explode(F.filter("by", lambda b: b < F.col("chunk_index"))).alias("src"), F.col("chunk_index").alias("dst"))
+    return links.distinct()
+
+
 def annotate(chunks: DataFrame, links: DataFrame, func: str = "func") -> DataFrame:
     """Chunks with statement_indices, depends_on_chunks and depended_on_by_chunks, all sorted."""
     needs = links.groupBy(func, F.col("dst").alias("chunk_index")).agg(F.array_sort(F.collect_set("src")).alias("depends_on_chunks"))
     feeds = links.groupBy(func, F.col("src").alias("chunk_index")).agg(F.array_sort(F.collect_set("dst")).alias("depended_on_by_chunks"))
     none = F.array().cast("array<int>")
-    out = chunks.join(needs, [func, "chunk_index"], "left").join(feeds, [func, "chunk_index"], "left")
+    out = chunks.join(needs.hint("merge"), [func, "chunk_index"], "left").join(feeds.hint("merge"), [func, "chunk_index"], "left")
     return out.withColumns({
         "statement_indices": F.sequence("statement_start", "statement_end"),
         "depends_on_chunks": F.coalesce(F.col("depends_on_chunks").cast("array<int>"), none),

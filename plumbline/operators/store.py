@@ -145,9 +145,11 @@ class Index:
             top = self._all(kind).agg(F.max("id")).head()[0] or 0
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         draft = f"{self.folder}/drafts/{kind}-{uuid.uuid4().hex}"
-        spread = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        spread.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(draft)
-        held = self.spark.read.parquet(draft)
+        rows.write.parquet(f"{draft}/made")  # dealing out by range reads its input twice
+        spread = self.spark.read.schema(rows.schema).parquet(f"{draft}/made").repartitionByRange(n, *order).sortWithinPartitions(*order)
+        spread.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(f"{draft}/sorted")
+        self.fs.delete(self._hadoop(f"{draft}/made"), True)
+        held = self.spark.read.parquet(f"{draft}/sorted")
         counts = held.groupBy("_part").agg(F.count("*").alias("n"))
         first = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_first"))  # a row a task
         named = held.join(F.broadcast(first), "_part").withColumn("id", top + 1 + F.col("_first") + F.col("_nth"))

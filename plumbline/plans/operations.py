@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import normalize, score, syntax
 from plumbline.functions.udfs import encode_texts, encoder
 from plumbline.operators import graph, similar, vector
 from plumbline.operators.store import Index
+from plumbline.session import shared_path
 from plumbline.sources import repository
 
 #: Functions with more statements than this are chunked.
@@ -31,6 +32,15 @@ NOT_CHUNKED = "Run chunk_repository to generate chunks"
 DEFAULT_INDEX = str(Path.home() / ".plumbline" / "index")
 
 
+def _lines() -> Column:
+    return F.split("body_code", r"\r\n|\r|\n")
+
+
+def _chunk_text(first: str, last: str) -> Column:
+    """The normal form of some of a function's lines, wrapped in a function."""
+    return normalize.normalize(normalize.as_function(F.slice("lines", F.col(first), F.col(last) - F.col(first) + 1)))
+
+
 class Engine:
     """An encoder (a function from a list of texts to unit vectors) and weights."""
 
@@ -102,22 +112,28 @@ class Engine:
 
     def chunks_of(self, methods: DataFrame, most: int = graph.MOST_STATEMENTS) -> DataFrame:
         """The annotated chunks of a table of methods, with their normalized code and vector."""
-        statements = repository.statements(methods.select(F.col("id").alias("func"), "body_code"), "func").persist()
-        chunks = graph.greedy_chunks(statements, most)
-        annotated = graph.annotate(chunks, graph.chunk_links(chunks, graph.data_edges(statements))).withColumnRenamed("func", "function_id")
-        named = annotated.join(methods.select(F.col("id").alias("function_id"), F.col("name").alias("function_name"), "file_path"), "function_id")
-        out = named.join(self._chunk_texts(annotated, methods, statements), ["function_id", "chunk_index"])
+        owners = self._held(methods.select(F.col("id").alias("function_id"), F.col("name").alias("function_name"), "file_path", "body_code"))
+        statements = repository.statements(owners.select(F.col("function_id").alias("func"), "body_code"), "func")
+        chunks = self._held(graph.chunked_statements(self._held(statements.select("func", *graph.OF_STATEMENT)), most))
+        annotated = graph.annotate(chunks, graph.links_of_chunks(chunks)).drop("writes", "reads").withColumnRenamed("func", "function_id")
+        named = annotated.join(owners.hint("merge"), "function_id").withColumn("lines", _lines())
+        out = named.withColumn("normalized_code", _chunk_text("start_line", "end_line")).drop("start_line", "end_line", "lines", "body_code")
         return out.withColumn("embedding", self.encode("normalized_code"))
 
+    def _held(self, rows: DataFrame) -> DataFrame:
+        """A table that is read more than once, written where executors share it."""
+        path = shared_path(self.spark, "held")
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def _chunk_texts(self, chunks: DataFrame, methods: DataFrame, statements: DataFrame) -> DataFrame:
         """(function_id, chunk_index, normalized_code): the lines from a chunk's first to its last
         statement, wrapped in a function and normalized."""
         lines = statements.select(F.col("func").alias("function_id"), "index", "start_line", "end_line")
         covered = chunks.select("function_id", "chunk_index", F.explode("statement_indices").alias("index")).join(lines, ["function_id", "index"])
         spans = covered.groupBy("function_id", "chunk_index").agg(F.min("start_line").alias("first"), F.max("end_line").alias("last"))
-        source = methods.select(F.col("id").alias("function_id"), F.split("body_code", r"\r\n|\r|\n").alias("lines"))
-        text = normalize.normalize(normalize.as_function(F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1)))
-        return spans.join(source, "function_id").select("function_id", "chunk_index", text.alias("normalized_code"))
+        source = methods.select(F.col("id").alias("function_id"), _lines().alias("lines"))
+        return spans.join(source, "function_id").select("function_id", "chunk_index", _chunk_text("first", "last").alias("normalized_code"))
 
     # --- read
 
@@ -177,7 +193,8 @@ class Engine:
             query = one.withColumn("embedding", self.encode("t")).drop("t")
         found = vector.top_k(query, index.vectors("chunks"), top_k + (chunk_id is not None)).where("query_id <> base_id")
         chunks = index.chunks().withColumnRenamed("id", "base_id")
-        both = found.join(chunks.drop("embedding"), "base_id").join(query.drop("embedding").withColumnRenamed("id", "query_id"), "query_id")
+        near = chunks.drop("embedding").join(F.broadcast(found), "base_id")  # a few rows; what chunks take in memory is not known from their files
+        both = near.join(F.broadcast(query.drop("embedding").withColumnRenamed("id", "query_id")), "query_id")
         links = (F.col("q_needs"), F.col("depends_on_chunks"), F.col("q_feeds"), F.col("depended_on_by_chunks")) if chunk_id is not None else None
         structural = score.chunk_structural(F.col("q_count"), F.col("statement_indices"), F.col("statement_start"), F.col("statement_end"), links)
         combined = both.withColumn("raw", score.chunk_score(F.col("score"), structural))

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions import syntax
 
@@ -28,6 +31,8 @@ FUNCTIONS = (
 )
 STATEMENTS = "index int, parent int, kind string, start_line int, end_line int, source_text string, writes array<string>, reads array<string>"
 FILES_AT_ONCE = 500
+#: Texts whose rows a worker holds at once.
+TEXTS_AT_ONCE = 256
 
 
 def paths(spark: SparkSession, root: str) -> DataFrame:
@@ -51,6 +56,21 @@ def _rows(path: str, language: str, text: str) -> list[tuple]:
 _NAMES = [c.split()[0] for c in FUNCTIONS.split(", ")]
 
 
+def _schema(ddl: str) -> T.StructType:
+    return T._parse_datatype_string(ddl)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(a, TEXTS_AT_ONCE)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def functions_in_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The functions of the files that can be read, (file_path, ok) of these files, and the table that
     both come from: it is persisted, so that a file is read and parsed once, until the caller ends that."""
@@ -79,27 +99,27 @@ def functions_in_snippet(spark: SparkSession, code: str, language: str = "python
 def functions_in_texts(texts: DataFrame, path_col: str, text_col: str, language: str = "python") -> DataFrame:
     """The functions of each text of a table; a null text has none."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for path, text in zip(batch["p"], batch["t"], strict=True) if text for r in _rows(path, language, text)]
-            yield pd.DataFrame(rows, columns=_NAMES)
+    schema = to_arrow_schema(_schema(FUNCTIONS))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            yield _batch([r for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text for r in _rows(path, language, text)], schema)
 
-    return texts.select(F.col(path_col).cast("string").alias("p"), F.col(text_col).alias("t")).mapInPandas(parse, FUNCTIONS)
+    return texts.select(F.col(path_col).cast("string").alias("p"), F.col(text_col).alias("t")).mapInArrow(parse, FUNCTIONS)
 
 
 def statements(functions: DataFrame, id_col: str = "id", code_col: str = "body_code") -> DataFrame:
     """One row a statement of each function: the id column and :data:`STATEMENTS`."""
     kind = functions.schema[id_col].dataType.simpleString()
-    names = [id_col, *(c.split()[0] for c in STATEMENTS.split(", "))]
+    ddl = f"`{id_col}` {kind}, {STATEMENTS}"
+    schema = to_arrow_schema(_schema(ddl))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, s.index, s.parent, s.kind, s.start_line, s.end_line, s.source_text, s.writes, s.reads) for i, code in zip(batch[id_col], batch[code_col], strict=True) for s in syntax.statements(code or "")]
-            out = pd.DataFrame(rows, columns=names)
-            out["parent"] = out["parent"].astype("Int32")
-            yield out
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            rows = [(i, s.index, s.parent, s.kind, s.start_line, s.end_line, s.source_text, s.writes, s.reads) for i, code in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in syntax.statements(code or "")]
+            yield _batch(rows, schema)
 
-    return functions.select(id_col, code_col).mapInPandas(parse, f"`{id_col}` {kind}, {STATEMENTS}")
+    return functions.select(id_col, code_col).mapInArrow(parse, ddl)
 
 
 def statement_count(code):

@@ -57,6 +57,31 @@ def test_edges_chunks_and_links_equal_plain_python(spark):
     assert graph.greedy_chunks(s.limit(0)).count() == 0
 
 
+def test_chunks_with_contents_equal_chunks_of_edges(spark):
+    rnd = random.Random(11)
+    pick = lambda: [rnd.choice("abcdefgh") for _ in range(rnd.randrange(3))]
+    functions = {f: [(pick(), pick()) for _ in range(rnd.randrange(1, 30))] for f in range(40)}
+    s = statements(spark, functions).withColumns({"start_line": F.col("index") + 2, "end_line": F.col("index") + 3})
+    for most in (3, 20):
+        plain = graph.greedy_chunks(s, most)
+        chunks = graph.chunked_statements(s, most).cache()
+        assert sorted(chunks.select(*plain.columns).collect()) == sorted(plain.collect())
+        assert sorted(graph.links_of_chunks(chunks).collect()) == sorted(graph.chunk_links(plain, graph.data_edges(s)).collect())
+        assert all((r["start_line"], r["end_line"]) == (r["statement_start"] + 2, r["statement_end"] + 3) for r in chunks.collect())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_statements_and_chunks_are_never_broadcast(spark):
+    functions = {f: [(["a"], ["b"]), (["b"], ["a"])] for f in range(9)}
+    s = statements(spark, functions).withColumns({"start_line": F.lit(2), "end_line": F.lit(3)})
+    chunks = graph.chunked_statements(s, 1)
+    for df in (graph.first_providers(s), chunks, graph.annotate(chunks, graph.links_of_chunks(chunks))):
+        assert "Broadcast" not in plan(df)
+
+
 def test_control_edges_of_a_nested_function(spark):
     rows = [(1, 0, None, "for_statement"), (1, 1, 0, "if_statement"), (1, 2, 1, "expression_statement"), (1, 3, 0, "expression_statement"), (1, 4, None, "return_statement")]
     s = spark.createDataFrame(rows, "func long, index int, parent int, kind string")

@@ -100,6 +100,19 @@ def test_chunks_from_end_to_end(engine, repo, tmp_path):
         assert json.loads(as_json(call)) == {"error": error}
 
 
+def test_a_chunk_is_compared_without_moving_all_chunks(spark, engine, repo, tmp_path):
+    ix = str(tmp_path / "ix")
+    (repo / "d.py").write_text(large("other", call="run"))
+    engine.index_repository(str(repo), ix)
+    engine.chunk_repository(str(repo), ix)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = engine.analyze_chunks(chunk_id=1, folder=ix)
+        assert near.count() and "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()  # the few that were found are sent to the chunks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_excluded_folders(spark, tmp_path):
     for name in (*repository.EXCLUDED, "kept"):
         (tmp_path / "r" / name).mkdir(parents=True)

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from plumbline.functions import score
 from plumbline.functions.udfs import sequence_ratio
 from plumbline.operators import vector
+from plumbline.session import shared_path
 
 #: Neighbours fetched for each result that is asked for.
 OVER_FETCH = 3
 COLUMNS = ["id", "language", "file_path", "name", "parameters", "return_type", "normalized_code", "code_hash", "start_line", "end_line", "dependencies", "ast_fingerprint"]
 
 
+#: What a score and its explanation depend on, besides lines and the number of parameters.
+AS_SCORED = ["language", "return_type", "normalized_code", "code_hash", "dependencies", "ast_fingerprint"]
+#: Where a method is, and what is said of a pair.
+PLACE = ["file_path", "name", "start_line"]
+TOLD = [*(f"c_{c}" for c in PLACE), "exact_match", "embedding_similarity", "ast_similarity", "differences", "refactoring_hints"]
+
+
 def criteria(q: dict[str, Column], c: dict[str, Column]) -> Column:
     """The coarse filter of the index: language, line band, parameter count."""
     return score.same_language(q["language"], c["language"]) & score.loc_in_bounds(q["loc"], c["loc"]) & score.parameters_near(q["n_params"], c["n_params"])
@@ -109,10 +117,29 @@ def similar_pairs(methods: DataFrame, vectors: DataFrame | None = None, threshol
 
     ``vectors`` is what is searched (the methods' own vectors if not given; with deleted ones, these
     take places as in the index).  Methods of fewer than ``min_lines`` lines neither ask nor answer.
+
+    Methods that are equal in all that a score depends on find the same candidates with the same
+    scores: one of them is searched for and scored, and its list then holds for each, without itself.
     """
-    eligible = methods.where(score.loc(F.col("start_line"), F.col("end_line")) >= min_lines)
-    found = vector.top_k(eligible.select("id", "embedding"), (vectors or methods).select("id", "embedding"), OVER_FETCH * top_k)
-    attributes = eligible.select(*COLUMNS)
-    pairs = pairs_of(found.where("query_id <> base_id"), attributes, attributes)
-    kept = best(scored(pairs, weights), top_k).where(F.col("final") >= threshold)
+    eligible = methods.where(F.col("id").isNotNull() & (score.loc(F.col("start_line"), F.col("end_line")) >= min_lines))
+    sized = [F.size("parameters").alias("n_params"), score.loc(F.col("start_line"), F.col("end_line")).alias("loc")]
+    same = F.sha2(F.to_json(F.struct("embedding", *AS_SCORED, *sized)), 256).alias("same")
+    path = shared_path(methods.sparkSession, "asked")  # which of equal methods it is must not change
+    first = eligible.select("embedding", *COLUMNS, same).dropDuplicates(["same"])
+    first.write.parquet(path)
+    asked = methods.sparkSession.read.schema(first.schema).parquet(path)
+    few = asked.count() <= vector.BLOCK_ROWS
+    k = OVER_FETCH * top_k
+    found = vector.top_k(asked.select("id", "embedding"), vector.within_reach((vectors or methods).select("id", "embedding"), k), k)
+    # Sizes that the optimizer expects of compressed files say nothing: what is broadcast is said here.
+    base = side(eligible.select(*COLUMNS), "c_")
+    near = base.join(F.broadcast(found) if few else found.hint("merge"), F.col("c_id") == F.col("base_id"))
+    pairs = near.join(side(asked.select("same", *COLUMNS), "q_").hint("merge"), F.col("query_id") == F.col("q_id"))
+    told = scored(pairs, weights).select("q_same", F.struct((-F.col("final")).alias("below"), "rank", "base_id", "final", *TOLD).alias("x"))
+    lists = told.groupBy("q_same").agg(F.slice(F.sort_array(F.collect_list("x")), 1, top_k + 1).alias("xs"))
+    members = eligible.select(F.col("id").alias("query_id"), same, *(F.col(c).alias(f"q_{c}") for c in PLACE))
+    listed = members.join(F.broadcast(lists) if few else lists.hint("merge"), F.col("same") == F.col("q_same"))
+    others = F.slice(F.filter("xs", lambda x: x["base_id"] != F.col("query_id")), 1, top_k)
+    each = listed.select("query_id", *(f"q_{c}" for c in PLACE), F.posexplode(others).alias("place", "x"))
+    kept = each.select("query_id", *(f"q_{c}" for c in PLACE), (F.col("place") + 1).alias("place"), "x.*").drop("below").where(F.col("final") >= threshold)
     return distinct_pairs(kept).orderBy(F.desc("final"), "query_id", "place")

@@ -152,6 +152,15 @@ def _by_blocks(asked: DataFrame, rows: DataFrame, k: int, n: int) -> DataFrame:
     return met.select("q", "b", "side", "id", "v").mapInArrow(scan, FOUND)
 
 
+def within_reach(base: DataFrame, k: int, base_id: str = "id", vector: str = "embedding") -> DataFrame:
+    """The rows of ``base`` that a search for k can find: of equal vectors those with the k lowest
+    ids.  Each task drops the others before the shuffle, so copies cost no product."""
+    same = F.sha2(F.to_json(F.struct(vector)), 256)
+    nth = F.row_number().over(Window.partitionBy("_same").orderBy(base_id))
+    able = base.where(F.col(base_id).isNotNull() & F.col(vector).isNotNull()).select(base_id, vector)
+    return able.withColumn("_same", same).withColumn("_nth", nth).where(F.col("_nth") <= k).select(base_id, vector)
+
+
 def post_filter(found: DataFrame, allowed: DataFrame, allowed_id: str = "id") -> DataFrame:
     """Ranked first, filtered after: rows that are not allowed have taken their places, so there may
     be fewer than k.  This is how the index search treats allowed and deleted rows."""

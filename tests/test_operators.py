@@ -147,6 +147,30 @@ def test_pairs_are_scored_and_told_once(spark):
     assert [(r["query_id"], r["base_id"]) for r in similar.similar_pairs(gone, df).collect()] == [(1, 6)]
 
 
+def test_equal_methods_are_searched_for_once(spark, monkeypatch):
+    rnd = random.Random(5)
+    code = ["one two three", "one two four", "five six"]
+    vecs = [(1.0, 0.0), (0.96, 0.28), (0.0, 1.0)]
+    rows = []
+    for i in range(1, 90):
+        k = rnd.randrange(3)
+        rows.append(method(i, f"{i % 4}.py", f"f{i}", rnd.choice(["ab", "cd", "abc"]), rnd.choice([3, 5, 6]), code[k], rnd.choice([(), ("g",)]), rnd.choice([None, "int"]), vecs[k]))
+    df = spark.createDataFrame(rows, SCHEMA)
+    live = df.where("id % 7 <> 0")
+    asked, search = [], vector.top_k
+    monkeypatch.setattr(vector, "top_k", lambda queries, *a, **b: asked.append(queries.count()) or search(queries, *a, **b))
+    shown = ["query_id", "base_id", "final", "exact_match", "embedding_similarity", "ast_similarity", "differences", "refactoring_hints", "q_name", "c_name", "place"]
+    for k in (2, 5):
+        able = live.where("end_line >= 4")
+        pairs = similar.pairs_of(search(able.select("id", "embedding"), df.select("id", "embedding"), 3 * k).where("query_id <> base_id"), able, able)
+        want = similar.distinct_pairs(similar.best(similar.scored(pairs), k).where("final >= 0.85")).orderBy(F.desc("final"), "query_id", "place")
+        want = want.select(*shown).collect()
+        for few in (4096, 2):
+            monkeypatch.setattr(vector, "BLOCK_ROWS", few)
+            assert similar.similar_pairs(live, df, top_k=k).select(*shown).collect() == want and want
+    assert max(asked) <= 3 * 2 * 2 * 2 * 2 < able.count()
+
+
 def test_candidate_counts_equal_all_pairs(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.choice(["p", "q", None]), rnd.randrange(0, 12), ["x"] * rnd.randrange(4)) for i in range(150)]

@@ -56,15 +56,18 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _final(numbered: Column) -> Column:
-    """A map from each name to what it is called in the end."""
-    new = lambda i: F.concat(F.lit("v"), i.cast("string"))
-    again = F.filter(numbered, lambda x: x["name"].rlike("^v[0-9]+$"))
-    step = lambda nth: F.struct(new(nth).alias("name"), nth.alias("nth"))
-
-    def last(x: Column, again: Column) -> Column:
-        return F.aggregate(again, step(x["nth"]), lambda now, y: F.when((y["nth"] > now["nth"]) & (y["name"] == now["name"]), step(y["nth"])).otherwise(now))["name"]
-
-    return _let(again, lambda again: F.map_from_arrays(numbered["name"], F.transform(numbered, lambda x: last(x, again))))
+    """A map from each name to what it is called in the end: that of the name which its new one meets
+    further on, if there is such a name, and so on.  Steps are doubled, so the work grows little
+    more than the names."""
+    new = lambda nth: F.concat(F.lit("v"), nth.cast("string"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbered))).cast("int"))
+
+    def last(names: Column) -> Column:
+        met = F.transform(numbered, lambda x: F.greatest(x["nth"], F.array_position(names, new(x["nth"])).cast("int")))
+        chased = F.aggregate(rounds, met, lambda to, _: F.transform(to, lambda nth: F.element_at(to, nth)))
+        return F.when(F.exists(names, lambda n: n.rlike("^v[0-9]+$")), chased).otherwise(numbered["nth"])
+
+    return _let(numbered["name"], lambda names: F.map_from_arrays(names, F.transform(last(names), new)))
 
 
 def rename_all(code: Column, names: Column) -> Column:

@@ -40,13 +40,15 @@ BATCH = 256
 
 def encoder(encode=encode_texts, batch: int = BATCH):
     """An encoder column: any function from a list of texts to an array of unit vectors can take the
-    default's place.  It is called with up to ``batch`` texts at a time, and what it loads it should
-    keep for the worker.  A null is encoded as an empty text."""
+    default's place.  It is called with up to ``batch`` different texts at a time, and what it loads it
+    should keep for the worker.  A null is encoded as an empty text."""
 
     @F.pandas_udf("array<float>")
     def vectors(text: pd.Series) -> pd.Series:
-        texts = text.fillna("").tolist()
-        return pd.Series([v for a in range(0, len(texts), batch) for v in np.asarray(encode(texts[a : a + batch]), np.float32)], dtype=object)
+        own = text.fillna("").tolist()
+        texts = list(dict.fromkeys(own))
+        of = dict(zip(texts, (v for a in range(0, len(texts), batch) for v in np.asarray(encode(texts[a : a + batch]), np.float32)), strict=True))
+        return pd.Series([of[t] for t in own], dtype=object)
 
     return vectors
 

@@ -101,11 +101,45 @@ def chunked_statements(statements: DataFrame, most: int = MOST_STATEMENTS, func:
     provided = first_providers(own.repartition(func), func).groupBy(func).agg(F.array_sort(F.collect_list(F.struct(F.col("index").cast("int").alias("index"), F.col("provider").cast("int").alias("provider")))).alias("p"))
     whole = own.groupBy(func).agg(F.sort_array(F.collect_list(F.struct(*OF_STATEMENT))).alias("s"))
     starts = provided.hint("merge").join(whole, func).select(func, "s", chunk_starts(F.col("p"), F.lit(most)).alias("starts"))
-    each = starts.select(func, "s", "starts", F.posexplode("starts").alias("chunk_index", "statement_start"))
-    placed = each.withColumn("statement_end", F.coalesce(F.get("starts", F.col("chunk_index") + 1), F.size("s")) - 1)
-    held = placed.withColumn("s", F.slice("s", F.col("statement_start") + 1, F.col("statement_end") - F.col("statement_start") + 1))
-    names = lambda c: F.array_distinct(F.flatten(F.transform("s", lambda x: x[c]))).alias(c)
-    return held.select(func, "chunk_index", "statement_start", "statement_end", F.array_min("s.start_line").alias("start_line"), F.array_max("s.end_line").alias("end_line"), names("writes"), names("reads"))
+    each = starts.select(func, F.posexplode(_runs(F.col("s"), F.col("starts"))).alias("chunk_index", "_c"))
+    return each.select(func, "chunk_index", "_c.*")
+
+
+def _runs(s: Column, starts: Column) -> Column:
+    """The chunks of one function, an array in order, from its statements and where chunks begin:
+    statement_start, statement_end, start_line, end_line, writes, reads."""
+
+    def run(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(starts, i + 1), F.size(s)) - 1
+        own = F.slice(s, start + 1, end - start + 1)
+        names = lambda c: F.array_distinct(F.flatten(own[c])).alias(c)
+        return F.struct(start.alias("statement_start"), end.alias("statement_end"), F.array_min(own["start_line"]).alias("start_line"), F.array_max(own["end_line"]).alias("end_line"), names("writes"), names("reads"))
+
+    return F.transform(starts, run)
+
+
+def annotated_chunks(listed: DataFrame, most: int = MOST_STATEMENTS) -> DataFrame:
+    """What :func:`annotate` gives for :func:`chunked_statements` and :func:`links_of_chunks`, from a row
+    a function with its statements ``s``, their providers and its text's ``lines``, of which each chunk
+    has its own.  The other columns stay.  Every row is for itself: nothing is shuffled, and a row of a
+    chunk holds nothing of the others."""
+    if most < 1:
+        raise ValueError("a chunk needs at least one statement")
+    own = [c for c in listed.columns if c not in ("s", "lines")]
+    starts = listed.select("*", chunk_starts(F.transform("s", lambda x: F.struct(x["index"].alias("index"), x["provider"].alias("provider"))), F.lit(most)).alias("_starts"))
+    runs = starts.select(*own, "lines", _runs(F.col("s"), F.col("_starts")).alias("_runs"))
+
+    def linked(r: Column, i: Column) -> Column:
+        of = lambda j, c: F.get("_runs", j)[c]
+        places = F.sequence(F.lit(0), F.size("_runs") - 1)
+        needs = F.filter(places, lambda j: (j < i) & F.arrays_overlap(of(j, "writes"), r["reads"]))
+        feeds = F.filter(places, lambda j: (j > i) & F.arrays_overlap(r["writes"], of(j, "reads")))
+        kept = [r[c].alias(c) for c in ("statement_start", "statement_end", "start_line", "end_line")]
+        lines = F.slice("lines", r["start_line"], r["end_line"] - r["start_line"] + 1)
+        return F.struct(*kept, F.sequence(r["statement_start"], r["statement_end"]).alias("statement_indices"), needs.alias("depends_on_chunks"), feeds.alias("depended_on_by_chunks"), lines.alias("lines"))
+
+    each = runs.select(*own, F.posexplode(F.transform("_runs", linked)).alias("chunk_index", "_c"))
+    return each.select(*own, "chunk_index", "_c.*")
 
 
 def links_of_chunks(chunks: DataFrame, func: str = "func") -> DataFrame:

@@ -178,7 +178,7 @@ def _large(spark: SparkSession, sf: str) -> DataFrame:
 
 def _chunked(spark: SparkSession, sf: str) -> tuple[Engine, Index]:
     engine, index = _indexed(spark, _large(spark, sf))
-    index.add_chunks(engine.chunks_of(index.methods().where(repository.statement_count("body_code") > LARGE)))
+    index.add_chunks(engine.chunks_of(index.methods(), over=LARGE))
     return engine, index
 
 

@@ -91,41 +91,31 @@ class Engine:
         index = self.index(folder)
         own = index.methods().where((F.col("file_path") == base) | F.col("file_path").startswith(base.rstrip("/") + "/"))
         scanned = own.agg(F.countDistinct("file_path")).head()[0]
-        large = own.where(repository.statement_count("body_code") > LARGE)
         if not force:
-            large = large.join(index.chunks().select(F.col("function_id").alias("id")).distinct(), "id", "left_anti")
-        large = large.persist()
+            own = own.join(index.chunks().select(F.col("function_id").alias("id")).distinct(), "id", "left_anti")
         failed: list[str] = []
         if most < 1:  # no chunk could hold a statement
-            failed = sorted(r[0] for r in large.select("file_path").distinct().collect())
+            failed = sorted(r[0] for r in own.where(repository.statement_count("body_code") > LARGE).select("file_path").distinct().collect())
             chunks = 0
             functions = 0
         else:
-            made = self.chunks_of(large, most).persist()
+            made = self.chunks_of(own, most, LARGE).persist()
             functions = made.select("function_id").distinct().count()
             if force:
                 index.delete_chunks_of(made.select(F.col("function_id").alias("id")))
             chunks = index.add_chunks(made)
             made.unpersist()
-        large.unpersist()
         return self.spark.createDataFrame([(scanned, functions, chunks, failed)], "files_scanned bigint, functions_chunked bigint, chunks_created bigint, skipped_files array<string>")
 
-    def chunks_of(self, methods: DataFrame, most: int = graph.MOST_STATEMENTS) -> DataFrame:
-        """The annotated chunks of a table of methods, with their normalized code and vector."""
-        owners = self._held(methods.select(F.col("id").alias("function_id"), F.col("name").alias("function_name"), "file_path", "body_code"))
-        statements = repository.statements(owners.select(F.col("function_id").alias("func"), "body_code"), "func")
-        chunks = self._held(graph.chunked_statements(self._held(statements.select("func", *graph.OF_STATEMENT)), most))
-        annotated = graph.annotate(chunks, graph.links_of_chunks(chunks)).drop("writes", "reads").withColumnRenamed("func", "function_id")
-        named = annotated.join(owners.hint("merge"), "function_id").withColumn("lines", _lines())
-        out = named.withColumn("normalized_code", _chunk_text("start_line", "end_line")).drop("start_line", "end_line", "lines", "body_code")
+    def chunks_of(self, methods: DataFrame, most: int = graph.MOST_STATEMENTS, over: int = -1) -> DataFrame:
+        """The annotated chunks of those of a table's methods that have more statements than ``over``,
+        with their normalized code and vector."""
+        owners = methods.select(F.col("id").alias("function_id"), F.col("name").alias("function_name"), "file_path", "body_code")
+        listed = repository.listed_statements(owners, over=over).withColumn("lines", _lines()).drop("body_code")
+        chunks = graph.annotated_chunks(listed, most)
+        out = chunks.withColumn("normalized_code", normalize.normalize(normalize.as_function(F.col("lines")))).drop("start_line", "end_line", "lines")
         return out.withColumn("embedding", self.encode("normalized_code"))
 
-    def _held(self, rows: DataFrame) -> DataFrame:
-        """A table that is read more than once, written where executors share it."""
-        path = shared_path(self.spark, "held")
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
     def _chunk_texts(self, chunks: DataFrame, methods: DataFrame, statements: DataFrame) -> DataFrame:
         """(function_id, chunk_index, normalized_code): the lines from a chunk's first to its last
         statement, wrapped in a function and normalized."""

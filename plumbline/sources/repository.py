@@ -29,6 +29,8 @@ FUNCTIONS = (
     "file_path string, language string, name string, parameters array<string>, return_type string, body_code string, "
     "start_line int, end_line int, dependencies array<string>, ast_fingerprint array<string>, is_stub boolean"
 )
+#: What chunks are made of, in one row a function.
+LISTED = "s array<struct<index: int, start_line: int, end_line: int, writes: array<string>, reads: array<string>, provider: int>>"
 STATEMENTS = "index int, parent int, kind string, start_line int, end_line int, source_text string, writes array<string>, reads array<string>"
 FILES_AT_ONCE = 500
 #: Texts whose rows a worker holds at once.
@@ -103,7 +105,9 @@ def functions_in_texts(texts: DataFrame, path_col: str, text_col: str, language:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            yield _batch([r for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text for r in _rows(path, language, text)], schema)
+            with syntax.uncollected():
+                rows = [r for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text for r in _rows(path, language, text)]
+            yield _batch(rows, schema)
 
     return texts.select(F.col(path_col).cast("string").alias("p"), F.col(text_col).alias("t")).mapInArrow(parse, FUNCTIONS)
 
@@ -116,17 +120,39 @@ def statements(functions: DataFrame, id_col: str = "id", code_col: str = "body_c
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            rows = [(i, s.index, s.parent, s.kind, s.start_line, s.end_line, s.source_text, s.writes, s.reads) for i, code in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in syntax.statements(code or "")]
+            with syntax.uncollected():
+                rows = [(i, s.index, s.parent, s.kind, s.start_line, s.end_line, s.source_text, s.writes, s.reads) for i, code in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in syntax.statements(code or "")]
             yield _batch(rows, schema)
 
     return functions.select(id_col, code_col).mapInArrow(parse, ddl)
 
 
+def listed_statements(functions: DataFrame, code_col: str = "body_code", over: int = -1) -> DataFrame:
+    """The functions of a table that have statements, and more of them than ``over``, each parsed once:
+    their columns and :data:`LISTED`, the statements in order with their providers."""
+    out = T.StructType([*functions.schema.fields, *_schema(LISTED).fields])
+    kind = to_arrow_schema(out).field("s").type
+    at = functions.columns.index(code_col)
+
+    def listed(code: str) -> list[tuple] | None:
+        found = syntax.statements(code, over)
+        return [(s.index, s.start_line, s.end_line, s.writes, s.reads, p) for s, p in zip(found, syntax.providers(found), strict=True)] or None
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            with syntax.uncollected():
+                lists = pa.array([listed(code or "") for code in batch.column(at).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "s"]).filter(lists.is_valid())
+
+    return functions.mapInArrow(parse, out)
+
+
 def statement_count(code):
     """A column: statements at all depths of each text."""
 
     @F.pandas_udf("int")
     def count(code: pd.Series) -> pd.Series:
-        return code.map(lambda c: syntax.count_statements(c or "")).astype("int32")
+        with syntax.uncollected():
+            return code.map(lambda c: syntax.count_statements(c or "")).astype("int32")
 
     return count(code)

@@ -140,3 +140,22 @@ def test_sequence_ratio_and_encoder(spark):
     v = [np.array(r[0]) for r in spark.createDataFrame([("a b c",), ("a b c",), ("x y z",), ("",), (None,)], "t string").select(udfs.encoder()("t")).collect()]
     assert all(x.shape == (384,) and abs(np.linalg.norm(x) - 1) < 1e-6 for x in v)
     assert v[0] @ v[1] == pytest.approx(1) and v[0] @ v[2] < 0.95
+
+
+def test_an_encoder_gets_equal_texts_once(spark, tmp_path):
+    def encode(texts):
+        with open(tmp_path / "calls", "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [[float(len(t)), float(ord(t[0])) if t else 0.0] for t in texts]
+
+    rows = [(i, None if i % 7 == 6 else "abc"[i % 3] * (i % 5)) for i in range(300)]
+    got = spark.createDataFrame(rows, "id int, t string").coalesce(1).select("id", udfs.encoder(encode, 4)("t").alias("v")).collect()
+    assert {r["id"]: r["v"] for r in got} == {i: [float(len(t or "")), float(ord(t[0])) if t else 0.0] for i, t in rows}
+    calls = [int(n) for n in (tmp_path / "calls").read_text().split()]
+    assert max(calls) <= 4 and sum(calls) == len({t or "" for _, t in rows})
+
+
+def test_names_that_meet_new_names_are_followed(spark):
+    codes = ["def f(z):\n" + "".join(f"    v{i} = v{j}\n" for i, j in zip(order, order[1:], strict=False)) for n in (1, 2, 9, 40) for order in (range(n), range(n, -1, -1), random.Random(n).sample(range(2 * n), n))]
+    rows = spark.createDataFrame(list(enumerate(codes)), "id int, code string").select("id", normalize.normalize(F.col("code")).alias("n")).collect()
+    assert {r["id"]: r["n"] for r in rows} == {i: plain_normalize(code) for i, code in enumerate(codes)}

@@ -5,8 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import syntax
 from plumbline.operators import graph, similar, vector
 from plumbline.operators.store import Index
+from plumbline.plans import code_queries
+from plumbline.sources import repository
 
 
 def plain_chunks(n, edges, most):
@@ -70,6 +73,24 @@ def test_chunks_with_contents_equal_chunks_of_edges(spark):
         assert all((r["start_line"], r["end_line"]) == (r["statement_start"] + 2, r["statement_end"] + 3) for r in chunks.collect())
 
 
+def test_chunks_of_listed_statements_equal_chunks_of_a_table(spark):
+    rnd = random.Random(12)
+    line = lambda: f"    {rnd.choice('abcdefgh')} = {rnd.choice('abcdefgh')} + g({rnd.choice('abcdefgh')},\n  1)\n"
+    codes = ["def f(a):\n" + "".join(line() for _ in range(rnd.randrange(1, 70))) for _ in range(30)] + [code_queries.FORMS, "x = 1", "def f(:", "", None]
+    df = spark.createDataFrame(list(enumerate(codes)), "func bigint, body_code string")
+    table = repository.statements(df, "func").cache()
+    for most in (1, 4, 20):
+        chunks = graph.chunked_statements(table, most).cache()
+        want = graph.annotate(chunks, graph.links_of_chunks(chunks)).drop("writes", "reads")
+        listed = repository.listed_statements(df).withColumn("lines", F.split("body_code", "\n")).drop("body_code")
+        made = graph.annotated_chunks(listed, most)
+        assert sorted(made.select(*want.columns).collect()) == sorted(want.collect())
+        assert all(r["lines"] == codes[r["func"]].split("\n")[r["start_line"] - 1 : r["end_line"]] for r in made.collect())
+        assert "Exchange" not in plan(made)
+    large = repository.listed_statements(df, over=30).select("func").collect()
+    assert {r["func"] for r in large} == {i for i, code in enumerate(codes) if syntax.count_statements(code or "") > 30}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

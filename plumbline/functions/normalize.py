@@ -20,17 +20,22 @@ STRING, NUMBER, FUNCTION = "STR_LITERAL", "NUM_LITERAL", "FUNC_NAME"
 # The patterns below decide what the normal form is.
 
 
+def _where_found(what: str, code: Column, change: Callable[[Column], Column]) -> Column:
+    """A change of texts that hold what it needs; looking for that is cheaper than a pattern."""
+    return _let(code, lambda code: F.when(F.contains(code, F.lit(what)), change(code)).otherwise(code))
+
+
 def strip_comments(code: Column) -> Column:
-    return F.regexp_replace(code, r"#[^\n]*", "")
+    return _where_found("#", code, lambda code: F.regexp_replace(code, r"#[^\n]*", ""))
 
 
 def replace_strings(code: Column) -> Column:
-    code = F.regexp_replace(code, r'"(?:[^"\\]|\\[^\n])*+"', STRING)
-    return F.regexp_replace(code, r"'(?:[^'\\]|\\[^\n])*+'", STRING)
+    code = _where_found('"', code, lambda code: F.regexp_replace(code, r'"(?:[^"\\]|\\[^\n])*+"', STRING))
+    return _where_found("'", code, lambda code: F.regexp_replace(code, r"'(?:[^'\\]|\\[^\n])*+'", STRING))
 
 
 def replace_numbers(code: Column) -> Column:
-    code = F.regexp_replace(code, r"(?U)\b\d+\.\d+\b", NUMBER)
+    code = _where_found(".", code, lambda code: F.regexp_replace(code, r"(?U)\b\d+\.\d+\b", NUMBER))
     return F.regexp_replace(code, r"(?U)\b\d+\b", NUMBER)
 
 
@@ -89,8 +94,8 @@ def rename_identifiers(code: Column) -> Column:
 
 
 def collapse_space(code: Column) -> Column:
-    code = F.regexp_replace(code, r"\r\n?", "\n")
-    code = F.regexp_replace(code, r"[ \t]+", " ")
+    code = _where_found("\r", code, lambda code: F.regexp_replace(code, r"\r\n?", "\n"))
+    code = F.regexp_replace(code, r"[ \t]{2,}|\t", " ")
     code = F.regexp_replace(code, r"(?U)\n\s*\n+", "\n")
     return F.regexp_replace(code, r"(?U)^\s+|\s+$", "")
 

@@ -86,7 +86,8 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "id", bas
     finds itself.
     """
     def plain(df: DataFrame, name: str) -> DataFrame:
-        return df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(F.col(name).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        v = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")  # floats are widened by tasks
+        return df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(F.col(name).cast("bigint").alias("id"), v.alias("v"))
 
     asked, rows = plain(queries, query_id), plain(base, base_id)
     n = asked.count()

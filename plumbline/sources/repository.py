@@ -135,7 +135,7 @@ def listed_statements(functions: DataFrame, code_col: str = "body_code", over: i
     at = functions.columns.index(code_col)
 
     def listed(code: str) -> list[tuple] | None:
-        found = syntax.statements(code, over)
+        found = syntax.statements(code, over, covered=False)
         return [(s.index, s.start_line, s.end_line, s.writes, s.reads, p) for s, p in zip(found, syntax.providers(found), strict=True)] or None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

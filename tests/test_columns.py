@@ -159,3 +159,15 @@ def test_names_that_meet_new_names_are_followed(spark):
     codes = ["def f(z):\n" + "".join(f"    v{i} = v{j}\n" for i, j in zip(order, order[1:], strict=False)) for n in (1, 2, 9, 40) for order in (range(n), range(n, -1, -1), random.Random(n).sample(range(2 * n), n))]
     rows = spark.createDataFrame(list(enumerate(codes)), "id int, code string").select("id", normalize.normalize(F.col("code")).alias("n")).collect()
     assert {r["id"]: r["n"] for r in rows} == {i: plain_normalize(code) for i, code in enumerate(codes)}
+
+
+def test_steps_that_find_nothing_leave_the_text(spark):
+    codes = ["", "x", "a  b\t c\td", "\r", "a\r\nb\rc", "1.5 1 .5 1. x1.5", "# only", "it's 'one' \"two\"", None]
+    df = spark.createDataFrame(list(enumerate(codes)), "id int, c string")
+    steps = {"strip_comments": [(r"#[^\n]*", "")], "replace_numbers": [(r"\b\d+\.\d+\b", "NUM_LITERAL"), (r"\b\d+\b", "NUM_LITERAL")], "collapse_space": [(r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n\s*\n+", "\n"), (r"^\s+|\s+$", "")]}
+    for step, changes in steps.items():
+        want = list(codes)
+        for pattern, new in changes:
+            want = [re.sub(pattern, new, c) if c is not None else None for c in want]
+        got = {r["id"]: r["n"] for r in df.select("id", getattr(normalize, step)(F.col("c")).alias("n")).collect()}
+        assert [got[i] for i in range(len(codes))] == want, step
